@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm.common import table
+from sheafcalc.llm import warc
+from sheafcalc.llm.common import table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, with_payload=False).drop("url")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+# DuckDB has no base32; the digest is spelled from the bits of the hexadecimal SHA-1.
+ORACLE_SQL["op2_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, max(page_id) AS first FROM p GROUP BY html),
+b AS (SELECT DISTINCT h, [CAST(('0x' || substr(h, 5 * i + 1, 5)) AS BIGINT) FOR i IN range(8)] AS five FROM p)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((five[1 + i // 4] >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (html) JOIN b USING (h)
+"""
