@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import warc
+from sheafcalc.llm import quality_rules, warc
 from sheafcalc.llm.common import table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
@@ -21,8 +21,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op6_quality_rules": op6_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
