@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import quality_rules, warc
+from sheafcalc.llm import mixing, quality_rules, warc
 from sheafcalc.llm.common import table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
@@ -25,13 +25,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
 
 # DuckDB has no base32; the digest is spelled from the bits of the hexadecimal SHA-1.
 ORACLE_SQL["op2_warc"] = """
