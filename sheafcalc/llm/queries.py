@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import mixing, quality_rules, warc
+from sheafcalc.llm import decontaminate, mixing, quality_rules, warc
 from sheafcalc.llm.common import table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
@@ -29,8 +29,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_decontaminate": op3_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
@@ -49,3 +54,18 @@ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (html) JOIN b USING (h)
 """
+
+ORACLE_SQL["op3_decontaminate"] = """
+WITH p AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS word),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), word) AS w FROM documents, p),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), word) AS w FROM benchmark, p),
+g AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[s : s + 9], ' ') AS gram FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS s FROM b WHERE len(w) > 0)),
+k AS (SELECT DISTINCT n FROM g),
+o AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, k WHERE len(w) >= n)),
+h AS (SELECT doc_id, s, n, item FROM o JOIN g USING (n, gram)),
+x AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM (SELECT DISTINCT doc_id, s, n FROM h)) GROUP BY doc_id),
+y AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
