@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import decontaminate, mixing, quality_rules, warc
-from sheafcalc.llm.common import table, work_dir
+from sheafcalc.llm import decontaminate, mixing, quality_rules, toxicity, warc
+from sheafcalc.llm.common import id_crc, table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_crc("doc_id", 5) != 0)
+    return out.withColumn("held_out", id_crc("doc_id", 5) == 0)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -34,6 +39,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op6_quality_rules": op6_quality_rules,
