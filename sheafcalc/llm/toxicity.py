@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from sheafcalc.llm.common import id_crc, stored
 
 #: Bounds of learning: labelled rows, lexicon words learned, texts that must use one.
-SAMPLE_ROWS, LEXICON_WORDS, LEAST_TEXTS = 16_000, 300, 4
+SAMPLE_ROWS, LEXICON_WORDS, LEAST_TEXTS = 16_000, 600, 5
+#: Lengths of word beginnings that the lexicon may hold, marked ^.
+BEGINNINGS = (3, 4, 5, 6)
 TREES, DEPTH, STEP = 25, 4, 0.2
 #: Words to each side in which a word of the second person counts as near.
 NEAR = 4
@@ -38,7 +40,7 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…-–—*_~#&%/\\|$^+=`"
 SEPARATORS = re.compile(r"[\W_]+")
 RUNS = re.compile(r"[!?]{2,}")
 STRETCHED = re.compile(r"(\w)\1{2,}")
-NAMES = ("lexicon_share", "lexicon_count", "lexicon_kinds", "weight_share", "weight_most", "insult_share", "second_share", "near_share", "near_count", "capital_share", "capital_words", "exclaim_share", "question_share", "mark_share", "mark_runs", "odd_share", "hidden_share", "hidden_count", "stretched_share", "digit_share", "log_words")
+NAMES = ("lexicon_share", "beginning_share", "beginning_count", "beginning_weight", "lexicon_count", "lexicon_kinds", "weight_share", "weight_most", "insult_share", "second_share", "near_share", "near_count", "capital_share", "capital_words", "exclaim_share", "question_share", "mark_share", "mark_runs", "odd_share", "hidden_share", "hidden_count", "stretched_share", "digit_share", "log_words")
 
 
 def plain(word: str) -> str:
@@ -57,6 +59,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     for i in odd:
         if i not in hits and (p := plain(raw[i].lower())) in lexicon:
             hits[i], hidden = p, hidden + 1
+    begun = [lexicon[p] for w in words for k in BEGINNINGS if (p := "^" + w[:k]) in lexicon and len(w) > k]
     weights = [lexicon[w] for w in hits.values()]
     second = [i for i, w in enumerate(words) if w in SECOND]
     around = {j for i in second for j in range(i - NEAR, i + NEAR + 1)} if hits else set()
@@ -64,7 +67,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     letters = max(1, sum(map(len, words)))
     marks = sum(map(text.count, PUNCTUATION))
     return [
-        len(hits) / n, float(len(hits)), float(len(set(hits.values()))), sum(weights) / n, max(weights, default=0.0), sum(w in INSULTS for w in hits.values()) / n,
+        len(hits) / n, len(begun) / n, float(len(begun)), sum(begun) / n, float(len(hits)), float(len(set(hits.values()))), sum(weights) / n, max(weights, default=0.0), sum(w in INSULTS for w in hits.values()) / n,
         len(second) / n, near / n, float(near), sum(map(str.isupper, text)) / letters, sum(w.isupper() and len(w) > 1 for w in raw) / n,
         text.count("!") / n, text.count("?") / n, marks / n, len(RUNS.findall(text)) / n, len(odd) / n, hidden / n, float(hidden),
         len(STRETCHED.findall(text)) / n, sum(map(text.count, "0123456789")) / n, math.log1p(len(words)),
@@ -96,14 +99,17 @@ def sample_of(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, la
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Log odds of words that toxic texts use clearly more often, and the fixed insults."""
-    # Only sampled rows and distinct words of a text are counted.
-    words = sample.select("label", F.explode(F.array_distinct(F.expr("transform(regexp_extract_all(lower(coalesce(text, '')), '[\\\\p{L}]{2,}', 0), x -> x)"))).alias("word"))
+    # Distinct words of a text count, and their distinct beginnings.
+    found = F.array_distinct(F.expr("regexp_extract_all(lower(coalesce(text, '')), '[\\\\p{L}]{2,}', 0)"))
+    begun = F.array_distinct(F.expr(" || ".join(f"transform(filter(w, x -> length(x) > {k}), x -> '^' || left(x, {k}))" for k in BEGINNINGS)))
+    words = sample.select("label", found.alias("w")).select("label", F.explode(F.concat("w", begun)).alias("word"))
     totals = sample.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
     bad, good = totals.bad or 0.0, (totals.n or 0) - (totals.bad or 0.0)
     counts = words.groupBy("word").agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")).filter(F.col("b") >= LEAST_TEXTS)
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
-    spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
-    found = counts.withColumn("odds", odds).withColumn("z", odds / spread).filter("z > 4 and odds > 1").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
+    both = (F.col("b") + F.col("g")) / (bad + good)
+    z = (F.col("b") / max(bad, 1.0) - F.col("g") / max(good, 1.0)) / F.sqrt(both * (1.0000001 - both) * (1 / max(bad, 1.0) + 1 / max(good, 1.0)))
+    found = counts.withColumn("odds", odds).withColumn("z", z).filter("z > 4 and odds > 1.5").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
     return {w: 1.0 for w in INSULTS} | {r.word: float(r.odds) for r in found}
 
 
@@ -118,7 +124,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         share = max(classes, default=0.0)
         scored = everything.select("id", F.lit(float(share)).alias("score"))
     else:
-        lexicon = learn_lexicon(sample.filter("part <> 3"))
+        lexicon = learn_lexicon(sample.filter("part < 2").dropDuplicates(["text"]))
         rows_in = stored(with_features(sample, lexicon, "label double, part bigint")).withColumn("x", array_to_vector("features"))
         grown = rows_in.filter("part <> 3")
         trees = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="class", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=4, seed=17, cacheNodeIds=False).fit(grown)
