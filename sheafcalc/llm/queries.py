@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import decontaminate, mixing, quality_rules, toxicity, warc
+from sheafcalc.llm import decontaminate, language_id, mixing, quality_rules, toxicity, warc
 from sheafcalc.llm.common import id_crc, table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
@@ -26,6 +26,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, id_crc("doc_id", 4) != 2)
+    return language_id.label(docs, model).withColumn("held_out", id_crc("doc_id", 4) == 2)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
