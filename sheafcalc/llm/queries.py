@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import decontaminate, language_id, mixing, quality_rules, toxicity, warc
+from sheafcalc.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, toxicity, warc
 from sheafcalc.llm.common import id_crc, table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
@@ -36,6 +36,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_classes(table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
