@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import decontaminate, jaccard_join, language_id, mixing, quality_rules, toxicity, warc
+from sheafcalc.llm import decontaminate, jaccard_join, language_id, mixing, pitman_yor, quality_rules, toxicity, warc
 from sheafcalc.llm.common import id_crc, table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
@@ -40,6 +40,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_classes(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pitman_yor.score(table(spark, sf_dir, "documents"), id_crc("doc_id", 7) != 2)
+    return out.withColumn("held_out", id_crc("doc_id", 7) == 2)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
