@@ -9,8 +9,6 @@ A text that is null or has no letter is `und` with score 0. Rows that repeat an
 Without learned languages every text is `und`. Words in a script that no learned language uses say nothing.
 """
 
-from __future__ import annotations
-
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -18,8 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheafcalc.llm.common import id_crc, pieces
@@ -147,49 +146,82 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     return out
 
 
+class Labeller:
+    """Labels texts with a model; keeps the scores of words it has met, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.table = model, {}, np.zeros((0, len(model.langs)))
+
+    def word_rows(self, found: list[list[str]]) -> None:
+        words = set().union(*found)
+        if len(self.known) + len(words) > KEPT:
+            self.known, self.table = {}, np.zeros((0, len(self.model.langs)))
+        new = list(words - self.known.keys())
+        self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+        if self.model.langs:
+            self.table = np.concatenate([self.table, self.model.word_scores(new)])
+
+    def label(self, texts: list[str | None], with_spans: bool = False) -> tuple[list[str], list[float], list]:
+        texts, langs_known = [t or "" for t in texts], self.model.langs
+        places = [[(x.start(), x.end()) for x in WORD.finditer(t)] for t in texts] if with_spans else None
+        # lower() may change the number of letters, so with spans each word is lowered by itself.
+        found = [[t[i:j].lower() for i, j in p] for t, p in zip(texts, places, strict=True)] if with_spans else [WORD.findall(t.lower()) for t in texts]
+        self.word_rows(found)
+        at = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(x) for x in found], out=at[1:])
+        out_lang, out_score, out_spans = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+        if not at[-1] or not langs_known:
+            return out_lang, out_score, out_spans
+        flat = [w for x in found for w in x]
+        ids = np.fromiter((self.known[w] for w in flat), np.int64, len(flat))
+        langs = viterbi(self.table[ids], at)
+        letters = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in flat), np.float64, len(flat))
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        sums = np.bincount(owner * len(langs_known) + langs, letters, len(texts) * len(langs_known)).reshape(len(texts), -1)
+        total = sums.sum(axis=1)
+        for i in np.flatnonzero(total > 0):
+            k = int(sums[i].argmax())
+            out_lang[i], out_score[i] = langs_known[k], float(sums[i, k] / total[i])
+            if with_spans:
+                own = langs[at[i] : at[i + 1]]
+                cut = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+                out_spans[i] = [{"start": places[i][x][0], "end": places[i][y - 1][1], "lang": langs_known[own[x]]} for x, y in zip(cut, cut[1:], strict=False)]
+        return out_lang, out_score, out_spans
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
+
 def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """id, lang_pred and score of each row of docs, and with spans the runs of one language: start, end, lang."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(m.langs)))
+        labeller = Labeller(sent.value)
         for whole in batches:
             for b in pieces(whole, "text", CHUNK):
-                texts = [(t or "") for t in b.column("text").to_pylist()]
-                places = [[(x.start(), x.end()) for x in WORD.finditer(t)] for t in texts] if with_spans else None
-                # lower() may change the number of letters, so with spans each word is lowered by itself.
-                found = [[t[i:j].lower() for i, j in p] for t, p in zip(texts, places, strict=True)] if with_spans else [WORD.findall(t.lower()) for t in texts]
-                new = list(set().union(*found) - known.keys())
-                if len(known) + len(new) > KEPT:
-                    known, table = {}, np.zeros((0, len(m.langs)))
-                    new = list(set().union(*found))
-                known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
-                table = np.concatenate([table, m.word_scores(new)]) if m.langs else table
-                at = np.zeros(len(texts) + 1, np.int64)
-                np.cumsum([len(x) for x in found], out=at[1:])
-                out_lang, out_score, out_spans = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-                if at[-1] and m.langs:
-                    flat = [w for x in found for w in x]
-                    ids = np.fromiter((known[w] for w in flat), np.int64, len(flat))
-                    langs = viterbi(table[ids], at)
-                    letters = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in flat), np.float64, len(flat))
-                    owner = np.repeat(np.arange(len(texts)), np.diff(at))
-                    sums = np.bincount(owner * len(m.langs) + langs, letters, len(texts) * len(m.langs)).reshape(len(texts), -1)
-                    total = sums.sum(axis=1)
-                    for i in np.flatnonzero(total > 0):
-                        k = int(sums[i].argmax())
-                        out_lang[i], out_score[i] = m.langs[k], float(sums[i, k] / total[i])
-                        if with_spans:
-                            own = langs[at[i] : at[i + 1]]
-                            cut = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
-                            out_spans[i] = [{"start": places[i][x][0], "end": places[i][y - 1][1], "lang": m.langs[own[x]]} for x, y in zip(cut, cut[1:], strict=False)]
-                columns = [b.column("id"), pa.array(out_lang), pa.array(out_score)]
-                if with_spans:
-                    columns.append(pa.array(out_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+                langs, scores, found = labeller.label(b.column("text").to_pylist(), with_spans)
+                columns = [b.column("id"), pa.array(langs), pa.array(scores)] + [pa.array(found, _SPANS)] * with_spans
                 yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "spans"][: len(columns)])
 
     schema = f"id {kind}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def labels_of(model: Model, text: Column, spark: SparkSession) -> Column:
+    """lang_pred and score as a struct column beside the other columns of a table."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(sent.value)
+        for texts in batches:
+            langs, scores, i = [], [], 0
+            size = np.cumsum([len(t or "") for t in texts])
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + CHUNK, "right")))
+                x, y, _ = labeller.label(list(texts.iloc[i:j]))
+                langs, scores, i = langs + x, scores + y, j
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return F.pandas_udf(run, "lang_pred string, score double")(text)

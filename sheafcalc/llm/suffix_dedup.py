@@ -107,11 +107,11 @@ def settled(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, count: np.ndar
         yield k, shut(d, t.astype(np.uint32), doc.astype(np.uint32), s.astype(np.uint32), n.astype(np.uint32))
 
 
-def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", rest: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """The texts (id, text, tag, part) and for each part packed stretches of strings to remove; and how many parts."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("order"), text.alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("order"), text.alias("text"), F.struct(*[F.col(c) for c in rest or []], F.lit(None).cast("int").alias("__none")).alias("rest"))
     size = own.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = int(max(8, -(-size // PART_BYTES)))
     buckets = int(max(8, -(-size // BUCKET_BYTES)))
@@ -263,10 +263,18 @@ def compared(rows: list[list[np.ndarray]], length: int, anchor: int) -> tuple[np
     return ids[o], tags[o], start[o] + j[gone], np.ones(len(gone), np.int64)
 
 
-def kept_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of each row of docs."""
+def nullable(structs: pa.ChunkedArray) -> pa.Array:
+    """The structs with fields that may be null, as a schema in text has them."""
+    one = structs.combine_chunks()
+    one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
+    return pa.StructArray.from_arrays(one.flatten(), fields=[pa.field(f.name, f.type, True) for f in one.type])
+
+
+def kept_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", rest: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left, without letters that lost a byte) and rest
+    (a struct of the columns asked for) of each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    own, packed, _ = removals(docs, length, anchor, id_col, text_col)
+    own, packed, _ = removals(docs, length, anchor, id_col, text_col, rest)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cover: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -291,10 +299,10 @@ def kept_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_c
                 total, raw = len(raw), np.frombuffer(raw, np.uint8)[~gone].tobytes()
             else:
                 total = len(raw)
-            rows.append((total, removed, spans, hashlib.sha256(raw).hexdigest(), raw if with_text else None))
-        out = {"id": left.column("id")} | {n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate((("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())))}
-        return pa.table(out)
+            rows.append((total, removed, spans, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "ignore") if with_text else None))
+        out = {"id": left.column("id")} | {n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate((("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())))}
+        return pa.table(out | {"rest": nullable(left.column("rest"))})
 
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = own.select("part", "id", "order", "tag", "text").groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
-    return out if with_text else out.drop("kept")
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, rest {own.schema['rest'].dataType.simpleString()}"
+    out = own.select("part", "id", "order", "tag", "text", "rest").groupBy("part").cogroup(packed.groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    return out if with_text else out.drop("kept", "rest")
