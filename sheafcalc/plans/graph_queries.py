@@ -40,17 +40,16 @@ def graph_levels(spark: SparkSession, d: str) -> DataFrame:
     return graph.levels(e, e.select(F.explode(F.array("src", "dst")).alias("node")))[0]
 
 
-PARTS_SQL = "SELECT p_partkey AS src, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size < 45"
+PARTS_SQL = "SELECT p_partkey AS src, p_partkey - p_partkey % 5 + (p_partkey + p_size) % 5 AS dst FROM part"
 
 
 @query("graph_cycles", f"""
 WITH RECURSIVE e AS ({PARTS_SQL}), w AS (SELECT src AS root, dst AS node FROM e UNION SELECT root, dst FROM w JOIN e ON src = node)
 SELECT a.root AS node, min(b.node) AS component FROM w a JOIN w b ON b.root = a.root JOIN w c ON c.root = b.node AND c.node = a.root WHERE a.node = a.root GROUP BY 1""")
 def graph_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Strong components of a graph in which parts of size below 45 refer to another part each."""
-    p = read(spark, d, "part")
-    n = p.agg(F.count("*").alias("n"))
-    return graph.cycles(p.filter("p_size < 45").join(F.broadcast(n)).select(C("p_partkey").alias("src"), ((C("p_partkey") * 7 + C("p_size")) % C("n")).alias("dst")))  # n is one row
+    """Strong components of a graph in which parts refer to another part each."""
+    k = C("p_partkey")
+    return graph.cycles(read(spark, d, "part").select(k.alias("src"), (k - k % 5 + (k + C("p_size")) % 5).alias("dst")))
 
 
 @query("rule_r006_cycles", f"""
