@@ -90,7 +90,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     # All alignments of a text meet at the text, which is one row; there are never more than it has words times items.
     by_doc = aligned.groupBy("doc").agg(F.collect_list(F.struct("item", "item_words", "shift")).alias("found"))
     both = own.join(small(by_doc, aligned.count(), 20_000), "doc").select("doc", words("text").alias("w"), "found")
-    starts = f"filter(sequence(0, greatest(0, size(x.item_words) - {window})), s -> x.shift + s >= 0 AND slice(w, x.shift + s + 1, {window}) = slice(x.item_words, s + 1, {window}))"
+    starts = f"filter(sequence(0, greatest(0, size(x.item_words) - {window})), s -> x.shift + s >= 0 AND slice(w, x.shift + s + 1, least({window}, size(x.item_words))) = slice(x.item_words, s + 1, {window}))"
     covered = f"array_distinct(flatten(transform({starts}, s -> sequence(x.shift + s, x.shift + s + least({window}, size(x.item_words)) - 1))))"
     return both.select("doc", F.expr(f"filter(transform(found, x -> named_struct('item', x.item, 'covered', {covered})), x -> size(x.covered) > 0)").alias("matches"))
 
