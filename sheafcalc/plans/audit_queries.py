@@ -13,11 +13,15 @@ from sheafcalc.plans.registry import query
 from sheafcalc.tables import read
 
 C = F.col
-LINES = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 LINES_SQL = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 NET = "CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(28,6))"
 
 
+def lines():
+    """Lines of an order in a fixed order."""
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 def recomputed(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum((C("l_extendedprice") * (1 - C("l_discount")) * (1 + C("l_tax"))).cast("decimal(28,6)")).cast("double").alias("recomputed"))
 
@@ -46,7 +50,7 @@ WITH r AS (SELECT l_orderkey, l_extendedprice, row_number() OVER ({LINES_SQL}) A
 SELECT l_orderkey, max(n) AS lines, CAST(sum(CASE WHEN pos < n THEN CAST(l_extendedprice AS DECIMAL(28,6)) ELSE 0 END) AS DOUBLE) AS total_short, max(CASE WHEN pos = n THEN l_extendedprice END) AS missing FROM r WHERE n > 2 GROUP BY 1""")
 def rule_r001(spark: SparkSession, d: str) -> DataFrame:
     """A total that stops one line early: the short total and the missing value, for orders of three lines or more."""
-    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(LINES)).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey"))).filter("n > 2")
+    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(lines())).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey"))).filter("n > 2")
     return x.groupBy("l_orderkey").agg(F.max("n").alias("lines"), F.sum(F.when(C("pos") < C("n"), C("l_extendedprice")).otherwise(0).cast("decimal(28,6)")).cast("double").alias("total_short"), F.max(F.when(C("pos") == C("n"), C("l_extendedprice"))).alias("missing"))
 
 
@@ -56,7 +60,7 @@ m AS (SELECT l_orderkey, sig, count(*) AS k, row_number() OVER (PARTITION BY l_o
 SELECT r.l_orderkey, pos, r.sig, m.sig AS majority, k AS agreeing, n AS run, round(least(0.95, 0.55 + 0.4 * k / n), 6) AS confidence FROM r JOIN m ON r.l_orderkey = m.l_orderkey AND best = 1 WHERE n >= 4 AND k >= n - 2 AND k >= 0.7 * n AND r.sig <> m.sig""")
 def rule_r002(spark: SparkSession, d: str) -> DataFrame:
     """In runs of four or more, the few members that break the majority pattern."""
-    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(LINES).cast("long")).select(C("l_orderkey").alias("run_id"), "pos", C("l_returnflag").alias("sig"))
+    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(lines()).cast("long")).select(C("l_orderkey").alias("run_id"), "pos", C("l_returnflag").alias("sig"))
     return FD.pattern_breaks(x, ["run_id"], "sig").select(C("run_id").alias("l_orderkey"), "pos", "sig", "majority", "agreeing", "run", F.round("confidence", 6).alias("confidence"))
 
 

@@ -15,6 +15,11 @@ from sheafcalc.tables import read
 C = F.col
 
 
+def lines():
+    """Lines of an order in a fixed order."""
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 @query("fn_sum_avg_min_max", """
 SELECT l_returnflag, CAST(sum(CAST(l_quantity AS DECIMAL(28,6))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(28,6))) AS DOUBLE) AS sum_price,
  round(CAST(sum(CAST(l_extendedprice AS DECIMAL(28,6))) AS DOUBLE) / count(*), 6) AS avg_price, min(l_discount) AS min_disc, max(l_tax) AS max_tax FROM lineitem GROUP BY 1""")
@@ -112,18 +117,15 @@ def fn_asof_events(spark: SparkSession, d: str) -> DataFrame:
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem)
 SELECT l_orderkey, min(pos) FILTER (WHERE l_returnflag = 'R') AS first_r, max(pos) FILTER (WHERE l_quantity <= 25) AS last_le, max(pos) FILTER (WHERE l_quantity >= 25) AS last_ge FROM r GROUP BY 1""")
 def fn_match_modes(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(LINE_ORDER).cast("long"))
+    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(lines()).cast("long"))
     return x.groupBy("l_orderkey").agg(F.min(F.when(C("l_returnflag") == "R", C("pos"))).alias("first_r"), F.max(F.when(C("l_quantity") <= 25, C("pos"))).alias("last_le"), F.max(F.when(C("l_quantity") >= 25, C("pos"))).alias("last_ge"))
 
 
-LINE_ORDER = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-
-
 @query("fn_index", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos FROM lineitem)
 SELECT o_orderkey, max(CASE WHEN pos = 3 THEN l_extendedprice END) AS third, CASE WHEN max(CASE WHEN pos = 3 THEN 1 END) IS NULL THEN '#REF!' END AS third_error FROM orders LEFT JOIN r ON o_orderkey = l_orderkey GROUP BY 1""")
 def fn_index(spark: SparkSession, d: str) -> DataFrame:
-    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(LINE_ORDER)).filter("pos = 3").select(C("l_orderkey").alias("o_orderkey"), C("l_extendedprice").alias("third"))
+    x = read(spark, d, "lineitem").withColumn("pos", F.row_number().over(lines())).filter("pos = 3").select(C("l_orderkey").alias("o_orderkey"), C("l_extendedprice").alias("third"))
     return read(spark, d, "orders").select("o_orderkey").join(x, "o_orderkey", "left").withColumn("third_error", F.when(C("third").isNull(), V.REF))
 
 
