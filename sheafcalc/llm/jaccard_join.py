@@ -2,10 +2,10 @@
 
 A text's set holds 64-bit digests of its word n-grams. Texts with equal sets form a class. Two sets that
 link differ in so few n-grams that, cut into a little more ranges of digests than that, they agree in a
-whole range; classes that agree in a range are candidates, and candidates chained together are a cluster.
-Within a cluster the sets stand in a signature tree: every node has the OR of its members' token bitmaps
-and their range of sizes. A dual traversal drops pairs of nodes whose largest possible overlap is below
-what a link needs, skips what is already connected, and compares what is left exactly.
+whole range; classes that agree in a range stand in a signature tree: every node has the OR of its members'
+token bitmaps and their range of sizes, and a dual traversal drops pairs of nodes whose largest possible
+overlap is below what a link needs. What is left, chained together, is a cluster. Within a cluster another
+dual traversal skips what is already connected and compares the sets exactly.
 
 A cluster beyond a block is joined block by block with its leader in each; only members that this leaves
 outside the cluster's main component are then taken to every block, so no link between different
@@ -19,7 +19,7 @@ id sorts after all others.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from sheafcalc.llm.common import FOLD, SPACED, U64, buffers, mix, pieces, range_hashes, release, small, spans, stored
 from sheafcalc.llm.components import components
 
-#: Ratio of neighbouring size classes, classes of a block, children of a node, 64-bit words of a bitmap, candidates broadcast at most.
-GROWTH, BLOCK, FAN, BITMAP, BROADCAST_ROWS = 1.6, 256, 8, 32, 400_000
+#: Ratio of neighbouring size classes, classes of a block, children of a node, 64-bit words of a bitmap, classes broadcast at most.
+GROWTH, BLOCK, FAN, BITMAP, BROADCAST_ROWS = 1.6, 2048, 8, 32, 400_000
+#: Leaders compared with all members before the traversal, node pairs looked at together, and words of the widest bitmaps.
+LEADERS, PORTION, WIDEST = 4, 4_000, 1024
 #: Bytes of text whose range digests share a bucket.
 BUCKET_BYTES = 16 << 20
 PRIME = U64(0x9E3779B97F4A7C15)
@@ -150,68 +152,91 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return key, np.repeat(take(np.int64, m, at), take(np.uint32, m, at + 8 * m))
 
 
-def stars(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each id with the least id that has the same key, where there are several ids; without repeats."""
+def groups_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the groups that share a key, where a key has several ids, one group after another; and group offsets."""
     got = [unpacked(x) for x in blobs]
     key, ids = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
+    key, ids = key[new], ids[new]
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    leader = np.repeat(ids[edge], np.diff(np.concatenate([edge, [len(ids)]])))
-    pairs = np.unique(np.stack([ids, leader], 1)[ids != leader], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    size = np.diff(np.concatenate([edge, [len(key)]]))
+    ids = ids[np.repeat(size > 1, size)]
+    return ids, np.concatenate([[0], np.cumsum(size[size > 1])])
+
+
+class Signatures:
+    """Token bitmaps of sets, their weights and the sizes of the sets."""
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray):
+        self.bits, self.size = bits, size.astype(np.int64)
+        self.weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+
+    def of(self, at: np.ndarray) -> Signatures:
+        return Signatures(self.bits[at], self.size[at])
+
+
+def bitmap(tokens: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """A bitmap of so many 64-bit words (a power of two) with the bits of the tokens."""
+    out = np.zeros(64 * words, np.uint8)
+    out[(tokens & U64(64 * words - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(U64)
 
 
 class Tree:
-    """A signature tree over sets: levels of nodes, leaves first, each with OR bitmaps, least weight and size range."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        size = np.array([len(x) for x in sets])
-        bits = np.zeros((len(sets), BITMAP), U64)
-        for i, x in enumerate(sets):
-            b = np.unique(x & U64(64 * BITMAP - 1)).astype(np.int64)
-            np.bitwise_or.at(bits[i], b >> 6, U64(1) << (b & 63).astype(U64))
-        # Neighbours in the tree have near sizes and a near least member.
-        self.order = np.lexsort((np.array([x[0] if len(x) else U64(0) for x in sets]), np.round(np.log(np.maximum(size, 1)) * 8)))
-        weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        level = (bits[self.order], weight[self.order], size[self.order], size[self.order])
+    """A signature tree over members `at`: levels of nodes, leaves first. A node has the OR of its members' bitmaps,
+    their least weight and their range of sizes; neighbours in the tree have near sizes and near bitmaps."""
+
+    def __init__(self, sig: Signatures, at: np.ndarray):
+        order = np.lexsort((sig.bits[at, 0], np.round(np.log(np.maximum(sig.size[at], 1)) * 8)))
+        self.members = at[order]
+        level = (sig.bits[self.members], sig.weight[self.members], sig.size[self.members], sig.size[self.members])
         self.levels = [level]
         while len(level[0]) > 1:
             edge = np.arange(0, len(level[0]), FAN)
             level = (np.bitwise_or.reduceat(level[0], edge, axis=0), np.minimum.reduceat(level[1], edge), np.minimum.reduceat(level[2], edge), np.maximum.reduceat(level[3], edge))
             self.levels.append(level)
 
-    def possible(self, depth: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Which pairs of nodes of a level may hold a link: the largest overlap against what the smallest sizes need."""
-        bits, weight, low, high = self.levels[depth]
-        shared = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64)
-        most = np.minimum(high[a] - np.maximum(0, weight[a] - shared), high[b] - np.maximum(0, weight[b] - shared))
-        fits = (high[a] * den >= low[b] * num) & (high[b] * den >= low[a] * num)
-        return fits & (low[a] > 0) & (low[b] > 0) & (most * (num + den) >= num * (low[a] + low[b]))
-
-    def pairs(self, num: int, den: int) -> Iterator[tuple[int, int]]:
-        """Candidate pairs of sets, by dual traversal from the root."""
-        top = len(self.levels) - 1
-        a = b = np.zeros(1, np.int64)
-        for depth in range(top, 0, -1):
-            n = len(self.levels[depth - 1][0])
-            x = (a[:, None, None] * FAN + np.arange(FAN)[None, :, None]) + np.zeros((1, 1, FAN), np.int64)
-            y = (b[:, None, None] * FAN + np.arange(FAN)[None, None, :]) + np.zeros((1, FAN, 1), np.int64)
-            x, y = x.ravel(), y.ravel()
-            keep = (x <= y) & (y < n) & (x < n)
-            if depth == 1:
-                keep &= x != y
-            x, y = x[keep], y[keep]
-            keep = self.possible(depth - 1, x, y, num, den)
-            a, b = x[keep], y[keep]
-        if top:
-            yield from zip(self.order[a].tolist(), self.order[b].tolist(), strict=True)
-
 
-def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """For each set the first set of its component of links, by dual traversal of a signature tree."""
-    root = list(range(len(sets)))
+def possible(x: tuple, a: np.ndarray, y: tuple, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of nodes may hold a link: the largest possible overlap against what the smallest sizes need."""
+    shared = np.bitwise_count(x[0][a] & y[0][b]).sum(axis=1).astype(np.int64)
+    most = np.minimum(x[3][a] - np.maximum(0, x[1][a] - shared), y[3][b] - np.maximum(0, y[1][b] - shared))
+    fits = (x[3][a] * den >= y[2][b] * num) & (y[3][b] * den >= x[2][a] * num)
+    return fits & (most * (num + den) >= num * (x[2][a] + y[2][b]))
+
+
+def candidates(s: Tree, t: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of two trees that may link, in portions, by dual traversal from the roots."""
+    stack = [(len(s.levels) - 1, np.zeros(1, np.int64), len(t.levels) - 1, np.zeros(1, np.int64))]
+    while stack:
+        i, a, j, b = stack.pop()
+        keep = possible(s.levels[i], a, t.levels[j], b, num, den)
+        a, b = a[keep], b[keep]
+        if not len(a):
+            continue
+        if not i and not j:
+            yield s.members[a], t.members[b]
+            continue
+        if i >= j:
+            i, a, b = i - 1, (a[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(b, FAN)
+            here = a < len(s.levels[i][0])
+        else:
+            j, a, b = j - 1, np.repeat(a, FAN), (b[:, None] * FAN + np.arange(FAN)).ravel()
+            here = b < len(t.levels[j][0])
+        a, b = a[here], b[here]
+        for k in range(0, len(a), PORTION):
+            stack.append((i, a[k : k + PORTION], j, b[k : k + PORTION]))
+
+
+def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int], bool] | None = None) -> list[int]:
+    """For each member the first member of its component of links (of possible links, where linked is not given).
+
+    A few leaders are compared with all members first; that connects groups of near copies at once. Only members
+    that are in no leader's component go through the dual traversal, against all members."""
+    n = len(sig.size)
+    root = list(range(n))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -219,14 +244,42 @@ def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
             i = root[i]
         return i
 
-    for i, j in Tree(sets).pairs(num, den):
-        x, y = find(i), find(j)
-        if x != y:
-            a, b = sets[i], sets[j]
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            if den * both >= num * (len(a) + len(b) - both):
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = find(i), find(j)
+            if x != y and (linked is None or linked(i, j)):
                 root[max(x, y)] = min(x, y)
-    return [find(i) for i in range(len(sets))]
+
+    leaf = (sig.bits, sig.weight, sig.size, sig.size)
+    everyone = rest = np.flatnonzero(sig.size > 0)
+    for _ in range(LEADERS):
+        if len(rest) < 2:
+            break
+        lead = np.full(len(everyone), rest[len(rest) // 2])
+        for k in range(0, len(everyone), PORTION):
+            keep = possible(leaf, lead[k : k + PORTION], leaf, everyone[k : k + PORTION], num, den)
+            join(lead[k : k + PORTION][keep], everyone[k : k + PORTION][keep])
+        one = find(int(lead[0]))
+        rest = np.array([i for i in rest.tolist() if find(i) != one], np.int64)
+    if len(rest):
+        for a, b in candidates(Tree(sig, rest), Tree(sig, everyone), num, den):
+            join(a, b)
+    return [find(i) for i in range(n)]
+
+
+def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
+    """For each set the first set of its component of links."""
+
+    def linked(i: int, j: int) -> bool:
+        a, b = sets[i], sets[j]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return den * both >= num * (len(a) + len(b) - both)
+
+    # With the sets at hand bitmaps are wide: eight bits for each token of the largest set, so bounds are close.
+    most = max((len(x) for x in sets), default=0)
+    words = min(WIDEST, max(BITMAP, 1 << (max(1, most // 8) - 1).bit_length()))
+    bits = np.stack([bitmap(x, words) for x in sets]) if sets else np.zeros((0, words), U64)
+    return connected(Signatures(bits, np.array([len(x) for x in sets], np.int64)), num, den, linked)
 
 
 def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,9 +296,8 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
 
     rows = stored(own.mapInArrow(sized, f"id {kind}, n_shingles long, class long"))
     first = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"))
-    clusters, n_candidates = candidate_clusters(own, n, ranges)
-    members = clusters.join(first, "class")
-    links = verified(own, members, n_candidates, n, num, den)
+    sets, clusters = candidate_clusters(own, first, n, ranges)
+    links = verified(sets, clusters, num, den)
     linked = components(links).withColumnRenamed("node", "class")
     least = linked.join(first, "class").groupBy("root").agg(F.min("id").alias("component"))
     named = first.withColumnRenamed("id", "least").join(linked.join(least, "root").select("class", "component"), "class", "left").select("class", F.coalesce("component", "least").alias("component"))
@@ -254,8 +306,9 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def candidate_clusters(own: DataFrame, n: int, ranges: Ranges) -> tuple[DataFrame, int]:
-    """class, cluster of classes that share range digests, directly or in a chain; and how many classes."""
+def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges) -> tuple[DataFrame, DataFrame]:
+    """class and members of the classes that share a range with another class; and class, cluster of those that may
+    link with one by their signatures, directly or in a chain."""
     size = own.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     buckets = int(min(4096, max(16, size // BUCKET_BYTES)))
 
@@ -279,45 +332,92 @@ def candidate_clusters(own: DataFrame, n: int, ranges: Ranges) -> tuple[DataFram
         if held:
             yield flush()
 
-    def join(t: pa.Table) -> pa.Table:
-        u, v = stars([x.as_py() for x in t.column("blob")])
-        return pa.table({"u": u, "v": v})
+    def gather(t: pa.Table) -> pa.Table:
+        ids, at = groups_of([x.as_py() for x in t.column("blob")])
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int64())), "at": pa.array([at.astype(np.int32)], pa.list_(pa.int32()))})
 
-    edges = stored(own.select("text").mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(join, "u long, v long").distinct())
+    groups = stored(own.select("text").mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, ids array<long>, at array<int>"))
     release(own.sparkSession)
-    clusters = stored(components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster")))
-    return clusters, clusters.count()
-
-
-def verified(own: DataFrame, members: DataFrame, n_candidates: int, n: int, num: int, den: int) -> DataFrame:
-    """u, v: links (or chains of links) between classes of one cluster, enough to connect every component."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.join(sizes, "cluster").withColumn("blocks", blocks)
-    # A cluster beyond one block is dealt over blocks by class; its leader stands in each.
-    of = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("class") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
-    placed = stored(placed.withColumn("of", of).select("id", "class", "cluster", "blocks", "of"))
-    packs = max(1, n_candidates // BLOCK)
+    uses = groups.select(F.col("bucket").alias("of_bucket"), F.explode(F.array_distinct("ids")).alias("class"))
+    wanted = stored(uses.select("class").distinct().join(first, "class"))
+    n_wanted = wanted.count()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["class", "cluster", "blocks", "of"]
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
                 h, _, at = ngram_sets(b, n)
-                sets = pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), sets, pa.array(class_ids(h, at))], [*names, "members", "got"])
+                each = [h[at[i] : at[i + 1]] for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(class_ids(h, at)), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([bitmap(x).tobytes() for x in each], pa.binary())], ["class", "got", "size", "members", "bits"])
 
-    texts = own.join(small(placed, n_candidates, BROADCAST_ROWS), "id")
-    sets = texts.select("text", "class", "cluster", "blocks", "of").mapInArrow(run, "class long, cluster long, blocks int, of array<int>, members binary, got long")
+    texts = own.join(small(wanted, n_wanted, BROADCAST_ROWS), "id").select("text", "class")
     # Rows that repeat an id may have other texts; only the class that was asked for counts.
-    sets = stored(sets.filter("class = got").select("class", "cluster", "blocks", "of", "members").dropDuplicates(["class"]))
+    sets = texts.mapInArrow(members, "class long, got long, size long, members binary, bits binary").filter("class = got")
+    sets = stored(sets.drop("got"))  # a repeated row repeats its class, which the tasks below look at once
+
+    def prune(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = {c: i for i, c in enumerate(right.column("class").to_pylist())}
+        sig = Signatures(np.frombuffer(b"".join(right.column("bits").to_pylist()), U64).reshape(-1, BITMAP), right.column("size").to_numpy())
+        us, vs = [], []
+        for ids, at in zip(left.column("ids"), left.column("at"), strict=True):
+            ids, at = ids.values.to_numpy(), at.values.to_numpy().astype(np.int64)
+            known = np.array(sorted(place), np.int64)
+            rows = np.array([place[c] for c in known.tolist()], np.int64)
+            own = rows[np.searchsorted(known, ids)]
+            # Groups of at most a leaf node are compared together, each pair of the bucket once.
+            size = np.diff(at)
+            a, b = [], []
+            for n in range(2, FAN + 1):
+                first = at[:-1][size == n]
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        a.append(own[first + i])
+                        b.append(own[first + j])
+            pairs = np.unique(np.concatenate([np.minimum(x, y) * len(known) + np.maximum(x, y) for x, y in zip(a, b, strict=True)]))
+            leaf = (sig.bits, sig.weight, sig.size, sig.size)
+            for k in range(0, len(pairs), PORTION):
+                x, y = np.divmod(pairs[k : k + PORTION], len(known))
+                keep = possible(leaf, x, leaf, y, ranges.num, ranges.den)
+                us.append(x[keep])
+                vs.append(y[keep])
+            seen = set()
+            for k in np.flatnonzero(size > FAN):
+                group = own[at[k] : at[k + 1]]
+                if (tag := group.tobytes()) not in seen:
+                    seen.add(tag)
+                    roots = np.array(connected(sig.of(group), ranges.num, ranges.den))
+                    other = np.flatnonzero(roots != np.arange(len(group)))
+                    us.append(group[other])
+                    vs.append(group[roots[other]])
+        names = right.column("class").to_numpy()
+        both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0) if us else np.zeros((0, 2), np.int64)
+        return pa.table({"u": pa.array(names[both[:, 0]], pa.int64()), "v": pa.array(names[both[:, 1]], pa.int64())})
+
+    signed = uses.join(sets.select("class", "size", "bits"), "class")
+    edges = stored(groups.groupBy("bucket").cogroup(signed.groupBy("of_bucket")).applyInArrow(prune, "u long, v long").distinct())
+    release(own.sparkSession)
+    clusters = stored(components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster")))
+    return sets.select("class", "members"), clusters
+
+
+def verified(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
+    """u, v: links (or chains of links) between classes of one cluster, enough to connect every component."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    placed = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    # A cluster beyond one block is dealt over blocks by class; its leader stands in each.
+    of = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("class") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    n_placed = clusters.count()
+    packs = max(1, n_placed // 256)
+    sets = stored(sets.join(small(placed.select("class", "cluster", "blocks", of.alias("of")), n_placed, BROADCAST_ROWS), "class"))
 
     def join(t: pa.Table) -> pa.Table:
         u, v = [], []
         by: dict[int, list[int]] = {}
-        for i, c in enumerate(t.column("cluster").to_pylist()):
-            by.setdefault(c, []).append(i)
         ids, raw = t.column("class").to_pylist(), t.column("members")
+        seen = set()
+        for i, c in enumerate(t.column("cluster").to_pylist()):
+            if ids[i] not in seen:
+                seen.add(ids[i])
+                by.setdefault(c, []).append(i)
         for at in by.values():
             roots = linked_parts([np.frombuffer(raw[i].as_py(), U64) for i in at], num, den)
             for i, r in enumerate(roots):
@@ -327,7 +427,7 @@ def verified(own: DataFrame, members: DataFrame, n_candidates: int, n: int, num:
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def joined(units: DataFrame, keys: list[Column]) -> DataFrame:
-        dealt = units.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "class", "cluster", "members").dropDuplicates(["k0", "k1", "k2", "class"])
+        dealt = units.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "class", "cluster", "members")
         return stored(dealt.groupBy("k0", "k1", "k2").applyInArrow(join, "u long, v long"))
 
     alone, many = F.lit(-1), F.col("blocks") > 1
