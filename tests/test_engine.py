@@ -80,7 +80,7 @@ def test_files(spark, tmp_path):
     assert ("=SUM(Data!A1:A3)*2" in [c[4] for c in xlsx.cells_of("m", fixed)]) and b"A1:A3" not in raw
 
 
-NAMES = sorted(n for n in driver.queries() if n.split("_")[0] in ("fn", "op", "rule", "audit", "guard", "history", "grid", "join", "window", "setop"))
+NAMES = sorted(n for n in driver.queries() if n.split("_")[0] in ("fn", "op", "graph", "rule", "audit", "guard", "history", "grid", "join", "window", "setop"))
 
 
 @pytest.mark.parametrize("name", NAMES)
