@@ -233,8 +233,9 @@ def candidates(s: Tree, t: Tree, num: int, den: int) -> Iterator[tuple[np.ndarra
 def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int], bool] | None = None) -> list[int]:
     """For each member the first member of its component of links (of possible links, where linked is not given).
 
-    A few leaders are compared with all members first; that connects groups of near copies at once. Only members
-    that are in no leader's component go through the dual traversal, against all members."""
+    A few leaders are compared with all members first; that connects groups of near copies at once. Members that
+    are in no leader's component go through the dual traversal against all members. What is left are links between
+    two leaders' components: each two are traversed until they connect."""
     n = len(sig.size)
     root = list(range(n))
 
@@ -264,6 +265,19 @@ def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int],
     if len(rest):
         for a, b in candidates(Tree(sig, rest), Tree(sig, everyone), num, den):
             join(a, b)
+    parts: dict[int, list[int]] = {}
+    for i in np.setdiff1d(everyone, rest).tolist():
+        parts.setdefault(find(i), []).append(i)
+    trees = [Tree(sig, np.array(x, np.int64)) for x in parts.values()] if len(parts) > 1 else []
+    for k, s in enumerate(trees):
+        for t in trees[:k]:
+            x, y = int(s.members[0]), int(t.members[0])
+            if find(x) == find(y):
+                continue
+            for a, b in candidates(s, t, num, den):
+                join(a, b)
+                if find(x) == find(y):
+                    break
     return [find(i) for i in range(n)]
 
 

@@ -195,6 +195,29 @@ def test_jaccard_join(docs, none, n, num, den):
     assert jaccard_join.link_classes(none, n, num, den).count() == 0
 
 
+def test_links_between_components_of_leaders():
+    import itertools
+
+    import numpy as np
+
+    tokens = jaccard_join.mix(np.arange(1, 400, dtype=np.uint64))
+    chain = [np.sort(tokens[6 * k : 6 * k + 100]) for k in range(6)]  # only neighbours link
+    apart = [np.sort(tokens[200 + 6 * k : 300 + 6 * k]) for k in range(2)]
+    for order in itertools.permutations(range(6)):
+        sets = [chain[k] for k in order]
+        assert jaccard_join.linked_parts(sets, 85, 100) == [0] * 6
+        sig = jaccard_join.Signatures(np.stack([jaccard_join.bitmap(x) for x in sets]), np.full(6, 100))
+        assert jaccard_join.connected(sig, 85, 100) == [0] * 6
+        assert jaccard_join.linked_parts(apart + sets, 85, 100) == [0, 0] + [2] * 6
+
+
+def test_chains_of_edits(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[3 * k : 3 * k + 60]) for k in (3, 0, 5, 1, 4, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.link_classes(docs).collect()} == {0}
+
+
 def test_large_clusters_are_linked_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
     words = [f"w{i}" for i in range(80)]
