@@ -354,7 +354,7 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges)
     release(own.sparkSession)
     uses = groups.select(F.col("bucket").alias("of_bucket"), F.explode(F.array_distinct("ids")).alias("class"))
     wanted = stored(uses.select("class").distinct().join(first, "class"))
-    n_wanted = wanted.count()
+    n_wanted, named = wanted.agg(F.count("*"), F.count("id")).first()
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -363,7 +363,18 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges)
                 each = [h[at[i] : at[i + 1]] for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(class_ids(h, at)), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([bitmap(x).tobytes() for x in each], pa.binary())], ["class", "got", "size", "members", "bits"])
 
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                h, _, at = ngram_sets(b, n)
+                yield pa.RecordBatch.from_arrays([b.column("text"), pa.array(class_ids(h, at))], ["text", "class"])
+
     texts = own.join(small(wanted, n_wanted, BROADCAST_ROWS), "id").select("text", "class")
+    if named < n_wanted:
+        # Classes without an id are found by the texts themselves, one of each class.
+        nameless = own.filter("id IS NULL").select("text").mapInArrow(classed, "text string, class long")
+        nameless = nameless.join(small(wanted.filter("id IS NULL").select("class"), n_wanted - named, BROADCAST_ROWS), "class")
+        texts = texts.unionByName(nameless.groupBy("class").agg(F.min("text").alias("text")))
     # Rows that repeat an id may have other texts; only the class that was asked for counts.
     sets = texts.mapInArrow(members, "class long, got long, size long, members binary, bits binary").filter("class = got")
     sets = stored(sets.drop("got"))  # a repeated row repeats its class, which the tasks below look at once

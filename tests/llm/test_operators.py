@@ -195,6 +195,15 @@ def test_jaccard_join(docs, none, n, num, den):
     assert jaccard_join.link_classes(none, n, num, den).count() == 0
 
 
+def test_near_copies_without_an_id(spark):
+    words = [f"w{i}" for i in range(120)]
+    near, other = [*words[:60], "edited", *words[61:]], [f"v{i}" for i in range(50)]
+    texts = [(1, words), (None, near), (None, near), (None, other), (None, [*other, "more"]), (2, [f"u{i}" for i in range(50)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = by_place(jaccard_join.link_classes(docs), ["doc_id", "n_shingles", "component_id"])
+    assert got == collections.Counter([(1, 117, 1), (None, 117, 1), (None, 117, 1), (None, 47, None), (None, 48, None), (2, 47, 2)])
+
+
 def test_links_between_components_of_leaders():
     import itertools
 
