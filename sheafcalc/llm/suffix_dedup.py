@@ -126,7 +126,8 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
             # Of occurrences with equal bytes the smallest id goes on; the others are settled here.
             key = mix(gram ^ mix(around))
             order = np.lexsort((ids, key))
-            edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            g, a = gram[order], around[order]
+            edge = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1])]))
             least = np.empty(len(key), np.int64)
             least[order] = np.repeat(ids[order][edge], np.diff(np.concatenate([edge, [len(key)]])))
             out = []
@@ -204,7 +205,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
             for k, i in by_part((mix(gram) >> U64(32)).astype(np.int64), blocks):
                 end = start[i] + count[i] - 1 + length
                 raw = b"".join(bytes(memoryview(texts[o, g])[a:e]) for o, g, a, e in zip(ids[i].tolist(), tags[i].tolist(), start[i].tolist(), end.tolist(), strict=True))
-                out.append((k, shut(ids[i], tags[i].astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), gram[i], np.frombuffer(raw, np.uint8))))
+                out.append((k, shut(ids[i], tags[i].astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), np.frombuffer(raw, np.uint8))))
         return pa.table({"block": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     def compare(t: pa.Table) -> pa.Table:
@@ -218,26 +219,27 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
 
 
 def shut_raw(columns: tuple[np.ndarray, ...], digests: tuple[np.ndarray, ...]) -> bytes:
-    """Columns packed, and digests, which do not pack, beside them: six bytes of the anchor's and four of the other."""
+    """Columns packed, and digests, which do not pack, beside them: six bytes of the anchor's (its bucket has the rest) and all eight of the other."""
     body = shut(*columns)
     gram, around = digests
-    return len(gram).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body + (gram & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (gram >> U64(32)).astype(np.uint16).tobytes() + (around & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+    return len(gram).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body + (gram & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (gram >> U64(32)).astype(np.uint16).tobytes() + around.astype(U64).tobytes()
 
 
 def opened_raw(blob: bytes) -> list[np.ndarray]:
     n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
     at = 16 + size
     take = lambda kind, at: np.frombuffer(blob, kind, n, at).astype(U64)
-    return [*opened(blob[16:at]), take(np.uint32, at) | (take(np.uint16, at + 4 * n) << U64(32)), take(np.uint32, at + 6 * n)]
+    return [*opened(blob[16:at]), take(np.uint32, at) | (take(np.uint16, at + 4 * n) << U64(32)), take(U64, at + 6 * n)]
 
 
 def compared(rows: list[list[np.ndarray]], length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """id, tag, start and count of strings that an occurrence of smaller id has too, by a suffix array of the block."""
-    ids, tags, start, off, count, gram, raw = (np.concatenate([x[j] for x in rows]) for j in range(7))
+    ids, tags, start, off, count, raw = (np.concatenate([x[j] for x in rows]) for j in range(6))
     tags, start, off, count = (x.astype(np.int64) for x in (tags, start, off, count))
     size = count - 1 + length
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    _, rank = np.unique(gram, return_inverse=True)
+    # Anchors are ranked by their bytes (all of one length, so the zeros that S drops at the end tell none apart).
+    _, rank = np.unique(raw[(at + off)[:, None] + np.arange(anchor)].view(f"S{anchor}").ravel(), return_inverse=True)
     # Symbols of an occurrence: bytes before the anchor, the anchor, bytes after it, and an end.
     wide = size - anchor + 2
     new = np.concatenate([[0], np.cumsum(wide)])

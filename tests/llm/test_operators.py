@@ -142,6 +142,12 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.kept_texts(none).count() == 0
 
 
+def test_half_digests_do_not_settle(spark):
+    line = "the same words stand in all of these "  # the digests of the two surroundings agree in 32 bits
+    docs = spark.createDataFrame([(1, line + "uykbppnystxgmadlqxoazxyp"), (2, line + "wrebtyvumykutbufmqexlbru")], "doc_id long, text string")
+    assert {r.n_removed for r in suffix_dedup.kept_texts(docs).collect()} == {0}
+
+
 def test_language_id(docs, none, spark):
     train = spark.createDataFrame([(1, "the cat and the dog are in the house with the other cats " * 3, "en"), (2, "der hund und die katze sind in dem haus mit den anderen " * 3, "de"), (3, "кот и собака живут в большом доме вместе с другими " * 3, "ru"), (4, None, "xx"), (5, "text", None)], "doc_id long, text string, lang string")
     model = language_id.train(train, F.lit(True))
