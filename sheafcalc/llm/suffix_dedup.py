@@ -6,7 +6,9 @@ occurrence: anchor, bytes around it, place. Occurrences are gathered by the anch
 bytes need no comparison, and of each distinct one only that of the smallest id goes on. Where an anchor has
 different surroundings, these go to suffix arrays, built for blocks of anchors by linear grouping (lyndon.py)
 with the anchor as one symbol. Equal strings are neighbours there, and all but those of the smallest id are
-removed. No occurrence is dropped, at whatever count; each task sends one of each distinct occurrence.
+removed. An anchor with more surroundings than a block holds is dealt string by string: each task keeps those of
+the smallest id of equal ones, by their bytes, and sends them to the block of the string's own digest.
+No occurrence is dropped, at whatever count; each task sends one of each distinct occurrence.
 
 Texts are UTF-8 bytes; null and empty texts have none. Matches never cross rows; rows of one id do not remove
 each other's bytes, and rows equal in id and text have equal results. A null id comes after all others.
@@ -28,6 +30,8 @@ from sheafcalc.llm.pitman_yor import opened, shut
 
 #: Bytes of the shared strings, of their anchors, and of the grams that place an anchor.
 LENGTH, ANCHOR, SEED_GRAM = 50, 28, 5
+#: Strings of large anchors that a task compares at a time.
+STRINGS = 400_000
 #: Bytes of text whose occurrences share a bucket, that a task gathers before it sends, that are put together again; and of a block of suffixes.
 BUCKET_BYTES, FLUSH_BYTES, PART_BYTES, BLOCK_BYTES = 24 << 20, 24 << 20, 12 << 20, 1 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -179,10 +183,12 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
             # Anchors with several surroundings go to the suffix arrays.
             g = np.cumsum(new_gram) - 1
             many = (np.bincount(g, new) > 1)[g] & ~done
-            ids, tags, start, off, count, gram = (x[many] for x in (ids, tags, start, off, count, gram))
+            large = (np.bincount(g, many) * (2 * (length - anchor) + 2) > BLOCK_BYTES)[g]
+            ids, tags, start, off, count, gram, large = (x[many] for x in (ids, tags, start, off, count, gram, large))
+            symbols = np.where(large, count * (length - anchor + 2), 2 * (length - anchor) + 2)
             for k, i in by_part(tags, parts):
                 d, tg, which = tabled(ids[i], tags[i])
-                out.append((k, True, shut(d, tg.astype(np.uint32), which.astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), gram[i]), int((2 * (length - anchor) + 2) * len(i))))
+                out.append((k, True, shut(d, tg.astype(np.uint32), which.astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), gram[i], large[i].astype(np.uint8)), int(symbols[i].sum())))
         return pa.table({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("part", pa.int32()), ("open", pa.bool_()), ("blob", pa.binary()), ("symbols", pa.int64())))})
 
     sent = own.select("order", "tag", "text").mapInArrow(send, "bucket int, part int, blob binary")
@@ -200,19 +206,41 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
         out = []
         if got:
             ids, tags = np.concatenate([x[0][x[2]] for x in got]), np.concatenate([x[1][x[2]] for x in got]).astype(np.int64)
-            start, off, count, gram = (np.concatenate([x[j] for x in got]) for j in range(3, 7))
-            start, off, count = start.astype(np.int64), off.astype(np.int64), count.astype(np.int64)
-            for k, i in by_part((mix(gram) >> U64(32)).astype(np.int64), blocks):
+            start, off, count, gram, large = (np.concatenate([x[j] for x in got]) for j in range(3, 8))
+            start, off, count, large = start.astype(np.int64), off.astype(np.int64), count.astype(np.int64), large > 0
+
+            def bytes_of(i: np.ndarray) -> np.ndarray:
                 end = start[i] + count[i] - 1 + length
-                raw = b"".join(bytes(memoryview(texts[o, g])[a:e]) for o, g, a, e in zip(ids[i].tolist(), tags[i].tolist(), start[i].tolist(), end.tolist(), strict=True))
-                out.append((k, shut(ids[i], tags[i].astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), np.frombuffer(raw, np.uint8))))
-        return pa.table({"block": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+                return np.frombuffer(b"".join(bytes(memoryview(texts[o, g])[a:e]) for o, g, a, e in zip(ids[i].tolist(), tags[i].tolist(), start[i].tolist(), end.tolist(), strict=True)), np.uint8)
+
+            few, wide = np.flatnonzero(~large), np.flatnonzero(large)
+            for k, i in by_part((mix(gram[few]) >> U64(32)).astype(np.int64), blocks):
+                i = few[i]
+                out.append((k, -1, shut(ids[i], tags[i].astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), bytes_of(i))))
+            before = np.cumsum(count[wide]) - count[wide]
+            for i in np.split(wide, np.flatnonzero(np.diff(before // STRINGS)) + 1) if len(wide) else []:
+                own, k, string = strings(count[i], bytes_of(i), length)
+                least = least_of(string, ids[i][own])
+                own, k, string, gone = i[own], k, string, ids[i][own] != least
+                for part, blob in settled(ids[own][gone], tags[own][gone], start[own][gone] + k[gone], np.ones(int(gone.sum()), np.int64), parts):
+                    out.append((part % blocks, part, blob))
+                own, k, string = own[~gone], k[~gone], string[~gone]
+                code = np.zeros(len(own), U64)
+                for j in range(length):
+                    code = mix(code ^ BYTE_WORDS[string[:, j]])
+                for block, x in by_part((code >> U64(32)).astype(np.int64), blocks):
+                    o = own[x]
+                    out.append((block, -1, shut(ids[o], tags[o].astype(np.uint32), (start[o] + k[x]).astype(np.uint32), (off[o] - k[x]).astype(np.uint16), np.ones(len(x), np.uint16), string[x].ravel())))
+        return pa.table({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("block", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())))})
 
     def compare(t: pa.Table) -> pa.Table:
-        out = list(settled(*compared([opened(x.as_py()) for x in t.column("blob")], length, anchor), parts))
+        both = list(zip(t.column("part").to_pylist(), t.column("blob"), strict=True))
+        out = [(k, x.as_py()) for k, x in both if k >= 0]
+        if rows := [opened(x.as_py()) for k, x in both if k < 0]:
+            out += settled(*compared(rows, length, anchor), parts)
         return pa.table({"part": pa.array([k for k, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
-    asked = own.select("part", "order", "tag", "text").groupBy("part").cogroup(found.filter("open").select("part", "blob").groupBy("part")).applyInArrow(cut, "block int, blob binary")
+    asked = own.select("part", "order", "tag", "text").groupBy("part").cogroup(found.filter("open").select("part", "blob").groupBy("part")).applyInArrow(cut, "block int, part int, blob binary")
     more = stored(asked.groupBy("block").applyInArrow(compare, "part int, blob binary"))
     release(spark)
     return own, found.filter("NOT open").select("part", "blob").unionByName(more), parts
@@ -232,6 +260,22 @@ def opened_raw(blob: bytes) -> list[np.ndarray]:
     return [*opened(blob[16:at]), take(np.uint32, at) | (take(np.uint16, at + 4 * n) << U64(32)), take(U64, at + 6 * n)]
 
 
+def strings(count: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each string of occurrences whose bytes follow each other in raw: its occurrence, its place there, its bytes."""
+    size = count - 1 + length
+    own = np.repeat(np.arange(len(count)), count)
+    k = np.arange(len(own)) - (np.cumsum(count) - count)[own]
+    return own, k, raw[((np.cumsum(size) - size)[own] + k)[:, None] + np.arange(length)]
+
+
+def least_of(string: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each string (a row of bytes) the smallest id that has the same bytes."""
+    _, same = np.unique(np.ascontiguousarray(string).view(f"S{string.shape[1]}").ravel(), return_inverse=True)
+    least = np.full(same.max(initial=-1) + 1, NO_ID)
+    np.minimum.at(least, same, ids)
+    return least[same]
+
+
 def compared(rows: list[list[np.ndarray]], length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """id, tag, start and count of strings that an occurrence of smaller id has too, by a suffix array of the block."""
     ids, tags, start, off, count, raw = (np.concatenate([x[j] for x in rows]) for j in range(6))

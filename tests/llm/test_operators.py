@@ -148,6 +148,33 @@ def test_half_digests_do_not_settle(spark):
     assert {r.n_removed for r in suffix_dedup.kept_texts(docs).collect()} == {0}
 
 
+def test_large_anchors_are_dealt_over_blocks(spark, monkeypatch):
+    size, real = 4096, suffix_dedup.compared
+
+    def bounded(rows, length, anchor):
+        assert sum(int(n) + length - anchor + 1 for x in rows for n in x[4]) < 4 * size
+        return real(rows, length, anchor)
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", size)
+    monkeypatch.setattr(suffix_dedup, "compared", bounded)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 500, raising=False)
+    own = random.Random(3)
+    other = lambda n: "".join(own.choice("abcdefghij") for _ in range(n))
+    ends = [other(14) for _ in range(40)]
+    line = "these words stand in a great many of all texts"
+    texts = [(i, other(20) + own.choice(ends) + line + own.choice(ends) + other(20)) for i in range(600)] + [(None, other(9) + line + ends[0]), (7, line + ends[1] + line + ends[1])]
+    first = {}
+    for i, t in texts:
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(first.get(t[k : k + 50], 10**9), 10**9 if i is None else i)
+    want = collections.Counter()
+    for i, t in texts:
+        gone = {j for k in range(len(t) - 49) if first[t[k : k + 50]] < (10**9 if i is None else i) for j in range(k, k + 50)}
+        want[i, hashlib.sha256("".join(c for j, c in enumerate(t) if j not in gone).encode()).hexdigest()] += 1
+    docs = spark.createDataFrame(own.sample(texts, len(texts)), "doc_id long, text string")
+    assert by_place(suffix_dedup.kept_texts(docs), ["doc_id", "kept_sha256"]) == want
+
+
 def test_language_id(docs, none, spark):
     train = spark.createDataFrame([(1, "the cat and the dog are in the house with the other cats " * 3, "en"), (2, "der hund und die katze sind in dem haus mit den anderen " * 3, "de"), (3, "кот и собака живут в большом доме вместе с другими " * 3, "ru"), (4, None, "xx"), (5, "text", None)], "doc_id long, text string, lang string")
     model = language_id.train(train, F.lit(True))
