@@ -20,6 +20,39 @@ LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Larger files are turned away.
 MOST_BYTES = 15 << 20
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+HIDDEN = "workbook_id string, sheet string, axis string, line int"
+#: Number formats that files name by number only.
+_MONEY, _PLAIN = '"$"#,##0{0}_);{1}\\("$"#,##0{0}\\)', "#,##0{0}_);{1}(#,##0{0})"
+FORMATS = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@"}
+FORMATS |= {k + i: form.format(("", ".00")[i > 1], ("", "[Red]")[i % 2]) for k, form in ((5, _MONEY), (37, _PLAIN)) for i in range(4)}
+FORMATS |= {41 + i: '_({0}* #,##0{1}_);_({0}* \\(#,##0{1}\\);_({0}* "-"{2}_);_(@_)'.format(("", '"$"')[i % 2], ("", ".00")[i > 1], ("", "??")[i > 1]) for i in range(4)}
+#: Texts and quoted sheets, which stay; names, functions and sheets, which stay; references: cells, columns, rows.
+SHIFTED = re.compile(r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|\[[^\]]*\])|(?<![\w.$])(?:(\$?)([A-Za-z]{1,3})(\$?)(\d+)|(\$?)([A-Za-z]{1,3}):(\$?)([A-Za-z]{1,3})|(\$?)(\d+):(\$?)(\d+))(?![\w.(!])""")
+
+
+def shifted(formula: str, cols: int, rows: int) -> str:
+    """A formula as it reads so many columns and rows away; a reference that leaves the sheet is #REF!."""
+
+    def column(fixed: str, letters: str) -> str | None:
+        n = column_number(letters.upper()) + (0 if fixed else cols)
+        return fixed + column_letters(n) if 0 < n <= 16384 else None
+
+    def line(fixed: str, digits: str) -> str | None:
+        n = int(digits) + (0 if fixed else rows)
+        return f"{fixed}{n}" if 0 < n <= 1048576 else None
+
+    def one(m: re.Match) -> str:
+        if m[1]:
+            return m[0]
+        if m[3]:
+            both, between = (column(m[2], m[3]), line(m[4], m[5])), ""
+        elif m[7]:
+            both, between = (column(m[6], m[7]), column(m[8], m[9])), ":"
+        else:
+            both, between = (line(m[10], m[11]), line(m[12], m[13])), ":"
+        return "#REF!" if None in both else between.join(both)
+
+    return SHIFTED.sub(one, formula)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +67,44 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def read_hidden(spark: SparkSession, path: str) -> DataFrame:
+    """Hidden rows and columns of all .xlsx files at path, as audit() takes them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).filter(f"length <= {MOST_BYTES} AND substring(content, 1, 2) = X'504B'")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in zip(f["path"], f["content"], strict=True):
+                yield pd.DataFrame(list(hidden_of(name, content)), columns=[x.split()[0] for x in HIDDEN.split(", ")])
+
+    return files.select("path", "content").mapInPandas(run, HIDDEN)
+
+
+def hidden_of(name: str, content: bytes) -> Iterator[tuple]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        tree = lambda p: ET.fromstring(z.read(p))
+        targets = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
+        for sheet in tree("xl/workbook.xml").iter(MAIN + "sheet"):
+            part = targets[sheet.get(LINK)].lstrip("/")
+            own, last = tree(part if part.startswith("xl/") else f"xl/{part}"), 0
+            for row in own.iter(MAIN + "row"):
+                last = int(row.get("r", last + 1))
+                if row.get("hidden") in ("1", "true"):
+                    yield name, sheet.get("name"), "row", last
+            for c in own.iter(MAIN + "col"):
+                if c.get("hidden") in ("1", "true"):
+                    yield from ((name, sheet.get("name"), "col", n) for n in range(int(c.get("min")), int(c.get("max")) + 1))
+
+
+def formats_of(z: zipfile.ZipFile) -> list[str]:
+    """The number format of each cell style."""
+    if "xl/styles.xml" not in z.namelist():
+        return []
+    styles = ET.fromstring(z.read("xl/styles.xml"))
+    named = FORMATS | {int(x.get("numFmtId")): x.get("formatCode") for x in styles.iter(MAIN + "numFmt")}
+    kinds = styles.find(MAIN + "cellXfs")
+    return [named.get(int(x.get("numFmtId", 0)), "General") for x in (kinds if kinds is not None else [])]
+
+
 def lanes(kind: str, text: str | None, shared: list[str]) -> tuple:
     """number, text, flag and error of a stored value."""
     if text is None:
@@ -54,17 +125,29 @@ def cells_of(name: str, content: bytes) -> Iterator[tuple]:
         tree = lambda p: ET.fromstring(z.read(p))
         shared = ["".join(t.text or "" for t in si.iter(MAIN + "t")) for si in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
         targets = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
+        formats = formats_of(z)
         for sheet in tree("xl/workbook.xml").iter(MAIN + "sheet"):
             part = targets[sheet.get(LINK)].lstrip("/")
-            for c in tree(part if part.startswith("xl/") else f"xl/{part}").iter(MAIN + "c"):
+            own = tree(part if part.startswith("xl/") else f"xl/{part}")
+            masters: dict[str, tuple[int, int, str]] = {}  # of formulas filled down or across
+            for c in own.iter(MAIN + "c"):
+                f = c.find(MAIN + "f")
+                if f is not None and f.get("t") == "shared" and f.text:
+                    letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                    masters.setdefault(f.get("si"), (column_number(letters), int(row), f.text))
+            for c in own.iter(MAIN + "c"):
                 letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
                 f, v = c.find(MAIN + "f"), c.find(MAIN + "v")
                 text = "".join(t.text or "" for t in c.iter(MAIN + "t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
                 value = lanes(c.get("t", "n"), text, shared)
                 formula = "=" + f.text if f is not None and f.text else None
+                if formula is None and f is not None and f.get("t") == "shared" and f.get("si") in masters:
+                    col, line, shared_text = masters[f.get("si")]
+                    formula = "=" + shifted(shared_text, column_number(letters) - col, int(row) - line)
+                style = int(c.get("s", 0))
                 if formula or any(x is not None for x in value):
                     none = (None,) * 4
-                    yield (name, sheet.get("name"), column_number(letters), int(row), formula, *(none if formula else value), *(value if formula else none), "General")
+                    yield (name, sheet.get("name"), column_number(letters), int(row), formula, *(none if formula else value), *(value if formula else none), formats[style] if style < len(formats) else "General")
 
 
 def file_of(sheets: dict[str, dict[str, object]]) -> bytes:
@@ -112,6 +195,18 @@ def corrected(content: bytes, edits: dict[tuple[str, int, int], str]) -> bytes:
             if mine:
                 ET.register_namespace("", MAIN[1:-1])
                 tree = ET.fromstring(raw)
+                # Formulas filled from another cell get a text of their own, so that they outlive an edit of that cell.
+                masters: dict[str, tuple[int, int, str]] = {}
+                filled = [(c.get("r"), f) for c in tree.iter(MAIN + "c") if (f := c.find(MAIN + "f")) is not None and f.get("t") == "shared"]
+                place = lambda r: (column_number(re.sub(r"\d", "", r)), int(re.sub(r"\D", "", r)))
+                for r, f in filled:
+                    if f.text:
+                        masters.setdefault(f.get("si"), (*place(r), f.text))
+                for r, f in filled:
+                    if f.get("si") in masters:
+                        col, row, text = masters[f.get("si")]
+                        f.text = f.text or shifted(text, place(r)[0] - col, place(r)[1] - row)
+                        f.attrib.clear()
                 for c in tree.iter(MAIN + "c"):
                     if c.get("r") in mine:
                         for child in list(c):

@@ -100,3 +100,26 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_filled_formulas_formats_and_hidden_lines_of_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    sheet = '<cols><col min="3" max="4" hidden="1"/></cols><sheetData><row r="1"><c r="A1" s="1"><v>2</v></c><c r="B1"><f t="shared" ref="B1:B3" si="0">A1*$A$1+SUM(A:A)&amp;"A1"</f><v>4</v></c></row><row r="2" hidden="1"><c r="A2" s="2"><v>3</v></c><c r="B2"><f t="shared" si="0"/><v>6</v></c></row></sheetData>'
+    styles = '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts><numFmt numFmtId="164" formatCode="0.0 \u20ac"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="7"/></cellXfs></styleSheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(xlsx.file_of({"S": {"A1": 1}}))) as z, zipfile.ZipFile(out, "w") as to:
+        for item in z.infolist():
+            raw = z.read(item).decode()
+            to.writestr(item, raw.replace(raw[raw.index("<sheetData>") : raw.index("</sheetData>") + 12], sheet) if "sheet1" in item.filename else raw)
+        to.writestr("xl/styles.xml", styles)
+    (tmp_path / "f.xlsx").write_bytes(out.getvalue())
+    got = {(r.col, r.row): r for r in xlsx.read_files(spark, f"file://{tmp_path}").collect()}
+    assert got[2, 2].formula == '=A2*$A$1+SUM(A:A)&"A1"' and got[2, 2].cn == 6 and got[2, 2].n is None
+    assert got[1, 1].number_format == "0.0 \u20ac" and "$" in got[1, 2].number_format and got[2, 1].number_format == "General"
+    assert {(r.axis, r.line) for r in xlsx.read_hidden(spark, f"file://{tmp_path}").collect()} == {("row", 2), ("col", 3), ("col", 4)}
+    fixed = xlsx.corrected(out.getvalue(), {("S", 2, 1): "=A1"})
+    assert {c[2:5] for c in xlsx.cells_of("f", fixed) if c[4]} == {(2, 1, "=A1"), (2, 2, '=A2*$A$1+SUM(A:A)&"A1"')}
+    assert xlsx.shifted("SUM('A1'!B2:$C3,LOG10(D$4),X.A1,2:3)", 1, -1) == "SUM('A1'!C1:$C2,LOG10(E$4),X.A1,1:2)"
+    assert xlsx.shifted("A1+B2", -1, 0) == "#REF!+A2"
