@@ -115,7 +115,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc, item, start: windows whose two rarest terms stand in a text in order, at their distance plus slop at most."""
+    """doc, item, start: windows all of whose terms stand in a text in order, within their number plus slop. The two
+    rarest terms give the candidates."""
     own = keyed(docs, id_col, text_col)
     tests = stored(item_words(items, item_col, item_text_col))
     plan = stored(anchors(own, tests, window))
@@ -128,4 +129,10 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, id_col: str
     one = index.join(pairs.withColumnRenamed("t1", "term"), "term").select("doc", "row", "start", "a1", "a2", F.col("position").alias("p1"), "step", F.explode(F.array(F.floor(F.col("position") / F.col("step")), F.floor(F.col("position") / F.col("step")) + 1)).alias("block"))
     two = index.join(pairs.withColumnRenamed("t2", "term"), "term").select("doc", "row", "start", F.col("position").alias("p2"), F.floor(F.col("position") / F.col("step")).alias("block"))
     near = one.join(two, ["doc", "row", "start", "block"]).filter((F.col("p2") - F.col("p1")).between(F.when(F.col("a1") == F.col("a2"), 0).otherwise(1), F.col("a2") - F.col("a1") + slop))
-    return near.join(small(tests.select("row", "item"), n_plan, BROADCAST_ROWS), "row").select("doc", "item", "start").distinct()
+    near = near.select("doc", "row", "start").distinct().join(small(tests.select("row", "item", "item_terms"), n_plan, BROADCAST_ROWS), "row")
+    near = near.select("doc", "item", "start", F.slice("item_terms", F.col("start") + 1, F.lit(window)).alias("t")).join(own.select("doc", terms("text").alias("w")), "doc")
+    # From each place of the first term the others are taken at their next places; p counts the terms passed.
+    step = f"array_position(slice(w, greatest(p, 0) + 1, size(t) + {slop}), x)"
+    end = f"aggregate(t, s, (p, x) -> if(p < 0 OR {step} = 0, -1, p + cast({step} AS int)))"
+    whole = f"exists(filter(sequence(0, size(w) - 1), s -> w[s] = t[0]), s -> {end} BETWEEN s + size(t) AND s + size(t) + {slop})"
+    return near.filter(F.expr(whole)).select("doc", "item", "start").distinct()

@@ -123,6 +123,14 @@ def test_proximity(spark):
     assert decontaminate.proximity_matches(docs, items, 5).count() == 2
 
 
+def test_proximity_takes_all_terms(spark):
+    docs = spark.createDataFrame([(1, "rare one two x three odd"), (2, "rare y y y y odd"), (3, "rare one two odd three"), (4, "rare rare one two three y odd"), (5, "one"), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "rare one two three odd")], "item_id long, text string")
+    keys = {r.doc: r.id for r in decontaminate.keyed(docs, "doc_id", "text").collect()}
+    near = lambda slop: {keys[r.doc] for r in decontaminate.proximity_matches(docs, items, slop).collect()}
+    assert near(0) == set() and near(1) == {1, 4}
+
+
 def test_suffix_dedup(docs, none):
     texts = [(float("inf") if i is None else i, (t or "").encode()) for i, t in ROWS]
     first = {}
