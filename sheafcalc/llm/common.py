@@ -32,7 +32,18 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = folder or work_dir(spark)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of stored tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_folder", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

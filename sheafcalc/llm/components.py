@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import stored
+from sheafcalc.llm.common import discard, release, stored
 
 
 def least_neighbour(edges: DataFrame) -> DataFrame:
@@ -13,19 +13,26 @@ def least_neighbour(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (the least node of its component) for every node of the edges u, v."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node of its component) for every node of the edges u, v: a stored table. Rounds go on until one
+    changes nothing; each replaces the table of the one before."""
+    spark = edges.sparkSession
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = least_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = least_neighbour(large.filter("u <> v"))
         joined = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stored(joined.filter("u <> v").distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
+        after = stored(joined.filter("u <> v").distinct())
+        seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
+        discard(now)
+        now = after
+        release(spark)
         if mark == seen:
             break
         mark = seen
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = stored(roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    discard(now)
+    return out

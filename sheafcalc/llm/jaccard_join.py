@@ -7,13 +7,17 @@ token bitmaps and their range of sizes, and a dual traversal drops pairs of node
 overlap is below what a link needs. What is left, chained together, is a cluster. Within a cluster another
 dual traversal skips what is already connected and compares the sets exactly.
 
+A bucket of ranges sends a forest, each class beside the least one that its chain reaches there, so what the
+buckets say of one cluster is mostly the same and falls together. A range that an eighth of a task's classes
+have is chained in the task, and one class of it goes on.
+
 A cluster beyond a block is joined block by block with its leader in each; only members that this leaves
 outside the cluster's main component are then taken to every block, so no link between different
 components is lost and copies are never expanded into pairs.
 
-Null and empty texts have empty sets and link with nothing. With fewer words than n the whole sequence is
-the only n-gram. Rows that repeat an id are one document of the component of each of their texts; a null
-id sorts after all others.
+Null and empty texts have empty sets and link with nothing; an empty table gives an empty one. With fewer
+words than n the whole sequence is the only n-gram. A very long text is a piece of its own in a task. Rows
+that repeat an id are one document of the component of each of their texts; a null id sorts after all others.
 """
 
 from __future__ import annotations
@@ -26,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import FOLD, SPACED, U64, buffers, mix, pieces, range_hashes, release, small, spans, stored
+from sheafcalc.llm.common import FOLD, SPACED, U64, buffers, discard, mix, pieces, range_hashes, release, small, spans, stored
 from sheafcalc.llm.components import components
 
-#: Ratio of neighbouring size classes, classes of a block, children of a node, 64-bit words of a bitmap, classes broadcast at most.
-GROWTH, BLOCK, FAN, BITMAP, BROADCAST_ROWS = 1.6, 2048, 8, 32, 400_000
+#: Ratio of neighbouring size classes, classes of a block, children of a node, 64-bit words of a bitmap at least and at most, classes broadcast at most.
+GROWTH, BLOCK, FAN, NARROWEST, BITMAP, BROADCAST_ROWS = 1.6, 2048, 8, 2, 32, 400_000
 #: Leaders compared with all members before the traversal, node pairs looked at together, and words of the widest bitmaps.
 LEADERS, PORTION, WIDEST = 4, 4_000, 1024
-#: Bytes of text whose range digests share a bucket.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text whose range digests share a bucket, buckets at most (16 M of them hold 256 TB), keys that a task gathers before it sends.
+BUCKET_BYTES, BUCKETS, FLUSH_KEYS = 16 << 20, 1 << 24, 2_000_000
+#: A range is hot in a task where so many of the gathered classes have it: an eighth, and 256 at least.
+HOT_PART, HOT_LEAST = 8, 256
+#: A class that holds more than this part of all rows is dealt over several tasks when rows fetch their component.
+ROW_PART = 512
 PRIME = U64(0x9E3779B97F4A7C15)
 
 
@@ -74,9 +82,18 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def class_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """An id of each set from its members alone."""
-    return mix(sums(mix(h ^ U64(0x5851F42D4C957F2D)), at) + np.diff(at).astype(U64) * PRIME).view(np.int64)
+def class_ids(h: np.ndarray, at: np.ndarray, split: np.ndarray | None = None, bits: int = 64) -> np.ndarray:
+    """An id of each set from its members alone. Ids in `split`, which different sets share, give way to a second digest."""
+    out = mix(sums(mix(h ^ U64(0x5851F42D4C957F2D)), at) + np.diff(at).astype(U64) * PRIME) >> U64(64 - bits)
+    if split is not None and len(split):
+        shared = np.isin(out.view(np.int64), split)
+        out[shared] = second_ids(h, at)[shared]
+    return out.view(np.int64)
+
+
+def second_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A digest of each set that is independent of its id."""
+    return mix(sums(mix(mix(h + U64(0x632BE59BD9B4E019))), at) ^ U64(0x2545F4914F6CDD1D))
 
 
 class Ranges:
@@ -127,28 +144,40 @@ class Ranges:
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def contracted(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, id), ordered by them, without the members of hot keys but their least; and the edges (member, least) of those."""
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids = key[new], ids[new]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([edge, [len(key)]]))
+    hot = np.repeat(size >= max(HOT_LEAST, len(np.unique(ids)) // HOT_PART), size)
+    rest = hot.copy()
+    rest[edge] = False
+    chain = np.stack([ids, np.repeat(ids[edge], size)], 1)[rest]
+    return key[~rest], ids[~rest], np.unique(chain, axis=0)
+
+
 def packed(key: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, bytes) of distinct pairs: 48 bits of each key beside the bucket, and each id once with a count."""
-    bucket = (key & U64(0xFFFF)).astype(np.int64) % buckets
+    """(bucket, bytes) of pairs: 40 bits of each key beside the bucket (equal ones make candidates, no more), and each id once with a count."""
+    bucket = (key & U64(BUCKETS - 1)).astype(np.int64) % buckets
     order = np.lexsort((key, ids, bucket))
-    key, ids, bucket = key[order] >> U64(16), ids[order], bucket[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])
-    key, ids, bucket = key[new], ids[new], bucket[new]
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    for k in range(buckets):
-        x, y = key[cut[k] : cut[k + 1]], ids[cut[k] : cut[k + 1]]
-        if len(x):
-            edge = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
-            runs = np.diff(np.concatenate([edge, [len(y)]])).astype(np.uint32)
-            yield k, struct.pack("<II", len(x), len(edge)) + (x >> U64(16)).astype(np.uint32).tobytes() + (x & U64(0xFFFF)).astype(np.uint16).tobytes() + y[edge].tobytes() + runs.tobytes()
+    key, ids, bucket = key[order] >> U64(24), ids[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    for a, e in zip(edges, [*edges[1:], len(bucket)], strict=True):
+        x, y = key[a:e], ids[a:e]
+        edge = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+        runs = np.diff(np.concatenate([edge, [len(y)]])).astype(np.uint32)
+        yield int(bucket[a]), struct.pack("<II", len(x), len(edge)) + (x >> U64(8)).astype(np.uint32).tobytes() + x.astype(np.uint8).tobytes() + y[edge].tobytes() + runs.tobytes()
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, m = struct.unpack_from("<II", blob)
     take = lambda kind, count, at: np.frombuffer(blob, kind, count, at)
-    key = (take(np.uint32, n, 8).astype(U64) << U64(16)) | take(np.uint16, n, 8 + 4 * n).astype(U64)
-    at = 8 + 6 * n
+    key = (take(np.uint32, n, 8).astype(U64) << U64(8)) | take(np.uint8, n, 8 + 4 * n).astype(U64)
+    at = 8 + 5 * n
     return key, np.repeat(take(np.int64, m, at), take(np.uint32, m, at + 8 * m))
 
 
@@ -177,6 +206,42 @@ class Signatures:
         return Signatures(self.bits[at], self.size[at])
 
 
+def width(size: int) -> int:
+    """64-bit words of the bitmap that a set of this size sends: two to four bits a token, as far as the widest goes."""
+    return min(BITMAP, max(NARROWEST, 1 << (size // 32).bit_length()))
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that the edges a, b connect it with."""
+    least = np.arange(n)
+    while True:
+        m = np.minimum(least[a], least[b])
+        old = least.copy()
+        for x in (a, b, least[a], least[b]):
+            np.minimum.at(least, x, m)
+        least = least[least]
+        if np.array_equal(old, least):
+            return least
+
+
+class Bitmaps:
+    """Bitmaps of several widths; sets of one group are compared at the width of the narrowest, to which wider ones fold."""
+
+    def __init__(self, raw: list[bytes], size: np.ndarray):
+        self.size, self.words = size, np.array([len(x) // 8 for x in raw], np.int64)
+        self.raw = {int(w): (k := np.flatnonzero(self.words == w), np.frombuffer(b"".join(raw[i] for i in k.tolist()), U64).reshape(-1, w)) for w in np.unique(self.words)}
+        self.made: dict[int, Signatures] = {}
+
+    def at(self, words: int) -> Signatures:
+        if words not in self.made:
+            bits = np.zeros((len(self.size), words), U64)
+            for w, (k, x) in self.raw.items():
+                if w >= words:
+                    bits[k] = np.bitwise_or.reduce(x.reshape(len(k), w // words, words), axis=1)
+            self.made[words] = Signatures(bits, self.size)
+        return self.made[words]
+
+
 def bitmap(tokens: np.ndarray, words: int = BITMAP) -> np.ndarray:
     """A bitmap of so many 64-bit words (a power of two) with the bits of the tokens."""
     out = np.zeros(64 * words, np.uint8)
@@ -296,143 +361,197 @@ def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     return connected(Signatures(bits, np.array([len(x) for x in sets], np.int64)), num, den, linked)
 
 
-def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """id, n_shingles and component_id (least id of the component) of each row of docs; links at a similarity of num / den."""
     ranges = Ranges(num, den)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text"):
-                h, _, at = ngram_sets(b, n)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), pa.array(class_ids(h, at))], ["id", "n_shingles", "class"])
-
-    rows = stored(own.mapInArrow(sized, f"id {kind}, n_shingles long, class long"))
-    first = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"))
-    sets, clusters = candidate_clusters(own, first, n, ranges)
-    links = verified(sets, clusters, num, den)
+    def rows_by(ids_of: Callable[..., np.ndarray]) -> DataFrame:
+        def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in pieces(whole, "text"):
+                    h, _, at = ngram_sets(b, n)
+                    size = np.diff(at)
+                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size), pa.array(ids_of(h, at), mask=size == 0), pa.array(second_ids(h, at).view(np.int64))], ["id", "n_shingles", "class", "second"])
+
+        return stored(own.mapInArrow(sized, f"id {kind}, n_shingles long, class long, second long"))
+
+    split = np.zeros(0, np.int64)
+    ids_of = lambda h, at: class_ids(h, at, split, id_bits)
+    rows = rows_by(ids_of)
+    by_class = lambda: rows.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("n"), (F.min("second") != F.max("second")).alias("shared"))
+    named = stored(by_class())
+    # Of 1e10 different sets about three pairs share an id; those take their second digest.
+    if shared := [r[0] for r in named.filter("shared").select("class").collect()]:
+        split = np.array(shared, np.int64)
+        discard(rows, named)
+        rows = rows_by(ids_of)
+        named = stored(by_class())
+    first = named.select("class", "id")
+    clusters, texts = candidate_clusters(own, first, n, ranges, ids_of)
+    links = verified(clusters, texts, num, den)
     linked = components(links).withColumnRenamed("node", "class")
     least = linked.join(first, "class").groupBy("root").agg(F.min("id").alias("component"))
-    named = first.withColumnRenamed("id", "least").join(linked.join(least, "root").select("class", "component"), "class", "left").select("class", F.coalesce("component", "least").alias("component"))
-    out = rows.join(named, "class", "left")
-    # Empty sets have a class of their own that no set joins.
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
-
-
-def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges) -> tuple[DataFrame, DataFrame]:
-    """class and members of the classes that share a range with another class; and class, cluster of those that may
-    link with one by their signatures, directly or in a chain."""
+    moved = stored(linked.join(least, "root").select("class", "component"))
+    discard(links, linked, clusters)
+    release(own.sparkSession)
+    total = rows.count()
+    copies = F.ceil(F.col("n") * ROW_PART / F.lit(max(total, 1))).cast("int")
+    named = named.join(moved, "class", "left").select("class", F.coalesce("component", "id").alias("component"), copies.alias("copies"))
+    # At most ROW_PART classes are hot; their rows spread over copies of the class. Empty sets have no class.
+    hot = named.filter("copies > 1").select("class", F.col("copies").alias("spread"))
+    rows = rows.join(F.broadcast(hot), "class", "left").withColumn("copy", F.pmod(F.xxhash64("id", F.spark_partition_id()), F.coalesce("spread", F.lit(1))))
+    placed = rows.filter("n_shingles > 0").join(named.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - F.lit(1).cast("long")))), ["class", "copy"], "left")
+    out = placed.select("id", "n_shingles", "component").unionByName(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
+
+
+def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges, ids_of: Callable[..., np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """class, id, cluster of the classes that may link with another by their signatures, directly or in a chain; and
+    class, members of those."""
+    spark = own.sparkSession
+    kind = own.schema["id"].dataType.simpleString()
     size = own.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    buckets = int(min(4096, max(16, size // BUCKET_BYTES)))
+    buckets = int(min(BUCKETS, max(6, -(-size // BUCKET_BYTES))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            got = list(packed(np.concatenate(keys), np.concatenate(ids), buckets))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int32()), pa.array([y for _, y in got], pa.binary())], ["bucket", "blob"])
+            key, own, chain = contracted(np.concatenate(keys), np.concatenate(ids))
+            got = [(k, False, x) for k, x in packed(key, own, buckets)]
+            if len(chain):  # goes with any bucket, which passes it on
+                got.append((int(U64(chain[0, 1].view(U64)) % U64(buckets)), True, chain.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], t) for j, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "chain", "blob"])
 
         for whole in batches:
             for b in pieces(whole, "text"):
                 h, _, at = ngram_sets(b, n)
                 key, sets = ranges.keys(h, at)
                 keys.append(key)
-                ids.append(class_ids(h, at)[sets])
+                ids.append(ids_of(h, at)[sets])
                 held += len(key)
-                if held > 2_000_000:
+                if held > FLUSH_KEYS:
                     yield flush()
                     keys, ids, held = [], [], 0
         if held:
             yield flush()
 
     def gather(t: pa.Table) -> pa.Table:
-        ids, at = groups_of([x.as_py() for x in t.column("blob")])
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "ids": pa.array([ids], pa.list_(pa.int64())), "at": pa.array([at.astype(np.int32)], pa.list_(pa.int32()))})
-
-    groups = stored(own.select("text").mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, ids array<long>, at array<int>"))
-    release(own.sparkSession)
+        chain = np.array(t.column("chain").to_pylist())
+        blobs = [x.as_py() for x in t.column("blob")]
+        ids, at = groups_of([b for b, c in zip(blobs, chain, strict=True) if not c])
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *[np.frombuffer(b, np.int64).reshape(-1, 2) for b, c in zip(blobs, chain, strict=True) if c]]), axis=0)
+        lists = [pa.array([x], pa.list_(k)) for x, k in ((ids, pa.int64()), (at.astype(np.int32), pa.int32()), (pairs[:, 0], pa.int64()), (pairs[:, 1], pa.int64()))]
+        return pa.table({"bucket": t.column("bucket").slice(0, 1)} | dict(zip(("ids", "at", "u", "v"), lists, strict=True)))
+
+    groups = stored(own.select("text").mapInArrow(run, "bucket int, chain boolean, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, ids array<long>, at array<int>, u array<long>, v array<long>"))
+    release(spark)
     uses = groups.select(F.col("bucket").alias("of_bucket"), F.explode(F.array_distinct("ids")).alias("class"))
     wanted = stored(uses.select("class").distinct().join(first, "class"))
-    n_wanted, named = wanted.agg(F.count("*"), F.count("id")).first()
+    n_wanted = wanted.count()
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
                 h, _, at = ngram_sets(b, n)
-                each = [h[at[i] : at[i + 1]] for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(class_ids(h, at)), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([bitmap(x).tobytes() for x in each], pa.binary())], ["class", "got", "size", "members", "bits"])
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(whole, "text"):
-                h, _, at = ngram_sets(b, n)
-                yield pa.RecordBatch.from_arrays([b.column("text"), pa.array(class_ids(h, at))], ["text", "class"])
-
-    texts = own.join(small(wanted, n_wanted, BROADCAST_ROWS), "id").select("text", "class")
-    if named < n_wanted:
-        # Classes without an id are found by the texts themselves, one of each class.
-        nameless = own.filter("id IS NULL").select("text").mapInArrow(classed, "text string, class long")
-        nameless = nameless.join(small(wanted.filter("id IS NULL").select("class"), n_wanted - named, BROADCAST_ROWS), "class")
-        texts = texts.unionByName(nameless.groupBy("class").agg(F.min("text").alias("text")))
-    # Rows that repeat an id may have other texts; only the class that was asked for counts.
-    sets = texts.mapInArrow(members, "class long, got long, size long, members binary, bits binary").filter("class = got")
-    sets = stored(sets.drop("got"))  # a repeated row repeats its class, which the tasks below look at once
+                bits = [bitmap(h[i:e], width(int(e - i))).tobytes() for i, e in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids_of(h, at)), pa.array(np.diff(at)), pa.array(bits, pa.binary())], ["id", "class", "size", "bits"])
 
     def prune(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = {c: i for i, c in enumerate(right.column("class").to_pylist())}
-        sig = Signatures(np.frombuffer(b"".join(right.column("bits").to_pylist()), U64).reshape(-1, BITMAP), right.column("size").to_numpy())
-        us, vs = [], []
+        known, row = np.unique(right.column("class").to_numpy(), return_index=True)
+        raw = right.column("bits").to_pylist()
+        maps = Bitmaps([raw[i] for i in row.tolist()], right.column("size").to_numpy()[row])
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for ids, at in zip(left.column("ids"), left.column("at"), strict=True):
             ids, at = ids.values.to_numpy(), at.values.to_numpy().astype(np.int64)
-            known = np.array(sorted(place), np.int64)
-            rows = np.array([place[c] for c in known.tolist()], np.int64)
-            own = rows[np.searchsorted(known, ids)]
+            own = np.searchsorted(known, ids)
+            if len(ids) and (own.max() >= len(known) or (known[own] != ids).any()):
+                raise ValueError("a class of a bucket has no set")
             # Groups of at most a leaf node are compared together, each pair of the bucket once.
             size = np.diff(at)
             a, b = [], []
-            for n in range(2, FAN + 1):
-                first = at[:-1][size == n]
-                for i in range(n):
-                    for j in range(i + 1, n):
-                        a.append(own[first + i])
-                        b.append(own[first + j])
+            for count in range(2, FAN + 1):
+                start = at[:-1][size == count]
+                for i in range(count):
+                    for j in range(i + 1, count):
+                        a.append(own[start + i])
+                        b.append(own[start + j])
             pairs = np.unique(np.concatenate([np.minimum(x, y) * len(known) + np.maximum(x, y) for x, y in zip(a, b, strict=True)]))
-            leaf = (sig.bits, sig.weight, sig.size, sig.size)
-            for k in range(0, len(pairs), PORTION):
-                x, y = np.divmod(pairs[k : k + PORTION], len(known))
-                keep = possible(leaf, x, leaf, y, ranges.num, ranges.den)
-                us.append(x[keep])
-                vs.append(y[keep])
+            x, y = np.divmod(pairs, max(1, len(known)))
+            narrow = np.minimum(maps.words[x], maps.words[y])
+            for w in np.unique(narrow).tolist():
+                sig = maps.at(w)
+                leaf = (sig.bits, sig.weight, sig.size, sig.size)
+                here = np.flatnonzero(narrow == w)
+                for k in range(0, len(here), PORTION):
+                    p, q = x[here[k : k + PORTION]], y[here[k : k + PORTION]]
+                    keep = possible(leaf, p, leaf, q, ranges.num, ranges.den)
+                    us.append(p[keep])
+                    vs.append(q[keep])
             seen = set()
             for k in np.flatnonzero(size > FAN):
                 group = own[at[k] : at[k + 1]]
                 if (tag := group.tobytes()) not in seen:
                     seen.add(tag)
-                    roots = np.array(connected(sig.of(group), ranges.num, ranges.den))
+                    roots = np.array(connected(maps.at(int(maps.words[group].min())).of(group), ranges.num, ranges.den))
                     other = np.flatnonzero(roots != np.arange(len(group)))
                     us.append(group[other])
                     vs.append(group[roots[other]])
-        names = right.column("class").to_numpy()
-        both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0) if us else np.zeros((0, 2), np.int64)
-        return pa.table({"u": pa.array(names[both[:, 0]], pa.int64()), "v": pa.array(names[both[:, 1]], pa.int64())})
+        least = forest(len(known), np.concatenate(us), np.concatenate(vs))
+        moved = np.flatnonzero(least != np.arange(len(known)))
+        return pa.table({"u": pa.array(known[moved], pa.int64()), "v": pa.array(known[least[moved]], pa.int64())})
+
+    asked = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
+    # The id narrows the join to one row of a class; rows that repeat an id may have other texts, and only the class asked for counts.
+    bits = own.mapInArrow(signed, f"id {kind}, class long, size long, bits binary").alias("b").join(asked.alias("w"), F.expr("b.class = w.class AND b.id <=> w.id")).select("b.class", "size", "bits")
+    edges = groups.filter(F.size("ids") > 0).groupBy("bucket").cogroup(uses.join(bits, "class").groupBy("of_bucket")).applyInArrow(prune, "u long, v long")
+    chains = groups.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
+    edges = stored(edges.unionByName(chains).distinct())
+    discard(groups, wanted)
+    release(spark)
+    found = components(edges)
+    clusters = stored(found.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(first, "class"))
+    discard(edges, found)
+    release(spark)
+    return clusters, members_of(own, clusters, n, ids_of)
+
+
+def members_of(own: DataFrame, classes: DataFrame, n: int, ids_of: Callable[..., np.ndarray]) -> DataFrame:
+    """class and members (digests of its n-grams) of the classes, read again from one text of each (a repeated row repeats them)."""
 
-    signed = uses.join(sets.select("class", "size", "bits"), "class")
-    edges = stored(groups.groupBy("bucket").cogroup(signed.groupBy("of_bucket")).applyInArrow(prune, "u long, v long").distinct())
-    release(own.sparkSession)
-    clusters = stored(components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster")))
-    return sets.select("class", "members"), clusters
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                h, _, at = ngram_sets(b, n)
+                yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(ids_of(h, at)), pa.array([h[i:e].tobytes() for i, e in zip(at, at[1:], strict=False)], pa.binary())], ["class", "got", "members"])
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, "text"):
+                h, _, at = ngram_sets(b, n)
+                yield pa.RecordBatch.from_arrays([b.column("text"), pa.array(ids_of(h, at))], ["text", "class"])
+
+    count, named = classes.agg(F.count("*"), F.count("id")).first()
+    texts = own.join(small(classes.select("class", "id"), count, BROADCAST_ROWS), "id").select("text", "class")
+    if named < count:
+        # Classes without an id are found by the texts themselves, one of each class.
+        nameless = own.filter("id IS NULL").select("text").mapInArrow(classed, "text string, class long")
+        nameless = nameless.join(small(classes.filter("id IS NULL").select("class"), count - named, BROADCAST_ROWS), "class")
+        texts = texts.unionByName(nameless.groupBy("class").agg(F.min("text").alias("text")))
+    return texts.mapInArrow(members, "class long, got long, members binary").filter("class = got").drop("got")
 
 
-def verified(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
+def verified(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """u, v: links (or chains of links) between classes of one cluster, enough to connect every component."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = clusters.select("class", "cluster").join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     # A cluster beyond one block is dealt over blocks by class; its leader stands in each.
     of = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("class") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
     n_placed = clusters.count()
     packs = max(1, n_placed // 256)
-    sets = stored(sets.join(small(placed.select("class", "cluster", "blocks", of.alias("of")), n_placed, BROADCAST_ROWS), "class"))
+    sets = sets.join(small(placed.select("class", "cluster", "blocks", of.alias("of")), n_placed, BROADCAST_ROWS), "class")
 
     def join(t: pa.Table) -> pa.Table:
         u, v = [], []
@@ -458,12 +577,13 @@ def verified(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFr
     alone, many = F.lit(-1), F.col("blocks") > 1
     units = sets.withColumn("block", F.explode("of"))
     links = joined(units, [F.when(many, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(packs))), F.when(many, F.col("block")).otherwise(alone), F.lit(0)])
-    large = sets.filter(many)
-    if not large.limit(1).count():
+    release(clusters.sparkSession)
+    if not sizes.filter(F.col("size") > BLOCK).limit(1).count():
         return links
+    large = stored(sets.filter(many))
     # Members outside the main component of a large cluster meet every block of it.
     roots = components(links).withColumnRenamed("node", "class")
-    parts = large.select("class", "cluster", "blocks").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    parts = large.select("class", "cluster", "blocks").distinct().join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     counts = parts.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     outside = stored(parts.join(main, "cluster").filter("root <> main").select("class", "cluster", "blocks"))
@@ -473,4 +593,6 @@ def verified(sets: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFr
     home = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     there = large.join(chunks, "cluster").select("class", "cluster", "members", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), home.alias("block"))
     again = joined(stray.unionByName(there), [F.col("cluster"), F.col("block"), F.col("chunk")])
-    return links.unionByName(again)
+    both = stored(links.unionByName(again))
+    discard(links, again, outside, large, roots)
+    return both
