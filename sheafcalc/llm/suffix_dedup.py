@@ -276,14 +276,42 @@ def least_of(string: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return least[same]
 
 
+def ranked_bytes(raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The rank of raw[at : at + width] among all of them, by the bytes."""
+    return np.unique(np.ascontiguousarray(raw[at[:, None] + np.arange(width)]).view(f"V{width}").ravel(), return_inverse=True)[1]
+
+
+def paired(raw: np.ndarray, at: np.ndarray, off: np.ndarray, size: np.ndarray, rank: np.ndarray, ids: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """Occurrences that may share a string with another id's. A string has half of the bytes beside its anchor, or more, on
+    one side, so two that share it agree there; what agrees with no other id on either side is left out."""
+    half = (length - anchor + 1) // 2
+    keep = np.zeros(len(ids), bool)
+    for first, room in ((at + off - half, off), (at + off + anchor, size - off - anchor)):
+        own = np.flatnonzero(room >= half)
+        if not len(own) or not half:
+            keep[own] = True
+            continue
+        key = rank[own] * (len(own) + 1) + ranked_bytes(raw, first[own], half)
+        order = np.lexsort((ids[own], key))
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        last = np.concatenate([edge[1:], [len(order)]]) - 1
+        several = ids[own][order[edge]] != ids[own][order[last]]
+        keep[own[order[np.repeat(several, last - edge + 1)]]] = True
+    return np.flatnonzero(keep)
+
+
 def compared(rows: list[list[np.ndarray]], length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """id, tag, start and count of strings that an occurrence of smaller id has too, by a suffix array of the block."""
     ids, tags, start, off, count, raw = (np.concatenate([x[j] for x in rows]) for j in range(6))
     tags, start, off, count = (x.astype(np.int64) for x in (tags, start, off, count))
     size = count - 1 + length
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    # Anchors are ranked by their bytes (all of one length, so the zeros that S drops at the end tell none apart).
-    _, rank = np.unique(raw[(at + off)[:, None] + np.arange(anchor)].view(f"S{anchor}").ravel(), return_inverse=True)
+    rank = ranked_bytes(raw, at + off, anchor)
+    keep = paired(raw, at, off, size, rank, ids, length, anchor)
+    if not len(keep):
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    ids, tags, start, off, count, at, size, rank = (x[keep] for x in (ids, tags, start, off, count, at, size, rank))
     # Symbols of an occurrence: bytes before the anchor, the anchor, bytes after it, and an end.
     wide = size - anchor + 2
     new = np.concatenate([[0], np.cumsum(wide)])
