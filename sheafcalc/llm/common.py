@@ -18,9 +18,11 @@ CHUNK_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir; a temporary folder only where that setting is unset (tests)."""
+    """A new folder path under spark.checkpoint.dir; a temporary folder only where that setting is unset on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sheafcalc-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -55,6 +57,12 @@ def id_crc(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
+def sampled(id_col: str, share: float) -> Column:
+    """Whether an id falls into a sample of this share: the least hashes of 53 bits, one step of them at least."""
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 11)
+    return hashed < F.lit(max(1, int(share * (1 << 53))))
+
+
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint for a side of a counted size; beyond the limit Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df

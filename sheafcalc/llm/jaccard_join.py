@@ -38,7 +38,7 @@ GROWTH, BLOCK, FAN, NARROWEST, BITMAP, BROADCAST_ROWS = 1.6, 2048, 8, 2, 32, 400
 #: Leaders compared with all members before the traversal, node pairs looked at together, and words of the widest bitmaps.
 LEADERS, PORTION, WIDEST = 4, 4_000, 1024
 #: Bytes of text whose range digests share a bucket, buckets at most (16 M of them hold 256 TB), keys that a task gathers before it sends.
-BUCKET_BYTES, BUCKETS, FLUSH_KEYS = 16 << 20, 1 << 24, 2_000_000
+BUCKET_BYTES, BUCKETS, FLUSH_KEYS = 16 << 20, 1 << 24, 1_000_000
 #: A range is hot in a task where so many of the gathered classes have it: an eighth, and 256 at least.
 HOT_PART, HOT_LEAST = 8, 256
 #: A class that holds more than this part of all rows is dealt over several tasks when rows fetch their component.
@@ -184,7 +184,10 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 def groups_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the groups that share a key, where a key has several ids, one group after another; and group offsets."""
     got = [unpacked(x) for x in blobs]
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     key, ids = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
+    del got
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
@@ -207,8 +210,8 @@ class Signatures:
 
 
 def width(size: int) -> int:
-    """64-bit words of the bitmap that a set of this size sends: two to four bits a token, as far as the widest goes."""
-    return min(BITMAP, max(NARROWEST, 1 << (size // 32).bit_length()))
+    """64-bit words of the bitmap that a set of this size sends: four to eight bits a token, as far as the widest goes."""
+    return min(BITMAP, max(NARROWEST, 1 << (size // 16).bit_length()))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,7 +6,9 @@ The model is learned from a bounded sample of labelled texts: counts of letter t
 letters; its score is their share.
 
 A text that is null or has no letter is `und` with score 0. Rows that repeat an id are labelled each.
-Without learned languages every text is `und`. Words in a script that no learned language uses say nothing.
+Without learned languages every text is `und`; an empty table gives an empty one. Words in a script that no
+learned language uses say nothing and lower the score: a text of such words alone has score 0. A very long text
+is a piece of its own in a task.
 """
 
 import re
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import id_crc, pieces
+from sheafcalc.llm.common import pieces, small
 
 #: Bounds of learning: texts, languages, trigrams of a language, characters of a text that are counted in one go.
 SAMPLE_ROWS, LANGUAGES, GRAMS = 6_000, 200, 20_000
@@ -74,11 +76,22 @@ class Model:
         return out
 
 
+def sampled_by(id_col: str, share: Column) -> Column:
+    """Whether an id falls into a sample whose share is a column."""
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 11)
+    return hashed <= share * float(1 << 53)
+
+
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
-    """A model of at most about `rows` labelled texts that may be learned from, chosen by crc32 of their ids."""
+    """A model of at most about `rows` labelled texts that may be learned from, chosen by hashes of their ids: half of them
+    evenly, half by language."""
     own = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & learn).select(F.col(id_col), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    share = min(1.0, rows / max(1, own.select(id_col).count()))
-    own = own.filter(id_crc(id_col, 1_000_003) < int(share * 1_000_003)) if share < 1 else own
+    # Each language has its part of the bound, so that a rare one is learned from all of its texts.
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs, total = sizes.agg(F.count("*"), F.sum("n")).first()
+    if (total or 0) > rows:
+        share = F.greatest(F.lit(rows / total), F.lit(rows / n_langs) / F.col("n")) / 2
+        own = own.join(small(sizes, n_langs, 100_000), "lang").filter((F.col("n") <= rows / n_langs / 2) | sampled_by(id_col, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = {}
@@ -150,16 +163,17 @@ class Labeller:
     """Labels texts with a model; keeps the scores of words it has met, up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.table = model, {}, np.zeros((0, len(model.langs)))
+        self.model, self.known, self.table, self.foreign = model, {}, np.zeros((0, len(model.langs))), np.zeros(0, bool)
 
     def word_rows(self, found: list[list[str]]) -> None:
         words = set().union(*found)
         if len(self.known) + len(words) > KEPT:
-            self.known, self.table = {}, np.zeros((0, len(self.model.langs)))
+            self.known, self.table, self.foreign = {}, np.zeros((0, len(self.model.langs))), np.zeros(0, bool)
         new = list(words - self.known.keys())
         self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
         if self.model.langs:
             self.table = np.concatenate([self.table, self.model.word_scores(new)])
+            self.foreign = np.concatenate([self.foreign, np.array([script(w) not in self.model.scripts for w in new], bool)])
 
     def label(self, texts: list[str | None], with_spans: bool = False) -> tuple[list[str], list[float], list]:
         texts, langs_known = [t or "" for t in texts], self.model.langs
@@ -177,8 +191,9 @@ class Labeller:
         langs = viterbi(self.table[ids], at)
         letters = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in flat), np.float64, len(flat))
         owner = np.repeat(np.arange(len(texts)), np.diff(at))
-        sums = np.bincount(owner * len(langs_known) + langs, letters, len(texts) * len(langs_known)).reshape(len(texts), -1)
-        total = sums.sum(axis=1)
+        # Letters of a script that no learned language uses are no language's, but count in the whole.
+        total = np.bincount(owner, letters, len(texts))
+        sums = np.bincount(owner * len(langs_known) + langs, np.where(self.foreign[ids], 0, letters), len(texts) * len(langs_known)).reshape(len(texts), -1)
         for i in np.flatnonzero(total > 0):
             k = int(sums[i].argmax())
             out_lang[i], out_score[i] = langs_known[k], float(sums[i, k] / total[i])

@@ -85,7 +85,7 @@ def mix(docs: DataFrame, domain: Column | None = None, weights: dict[str, dict[s
     leaves = leaves.withColumn("whole", F.expr("if(tokens > 0, budget div tokens, 0)")).withColumn("part", F.expr("if(tokens > 0, budget % tokens, 0)"))
     # Bins of the seeded order: about bin_rows rows each, so that no leaf is sorted in one task.
     leaves = leaves.withColumn("bins", F.least(F.lit(65536), F.greatest(F.lit(1), F.expr(f"n_rows div {bin_rows}"))).cast("int"))
-    leaves = stored(leaves.coalesce(1))
+    leaves = stored(leaves)
     n_leaves = leaves.count()
     hint = F.broadcast if n_leaves <= 100_000 else (lambda x: x)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))

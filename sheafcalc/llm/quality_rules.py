@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import id_crc, stored
+from sheafcalc.llm.common import id_crc, sampled, stored
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 WINDOW = 5
@@ -83,14 +83,14 @@ class Rule:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Features of at most about `rows` labelled rows, chosen by crc32 of their ids; bad is the rejected class."""
+    """Features of at most about `rows` labelled rows, chosen by hashes of their ids; bad is the rejected class."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     total = marks.count()
     share = min(1.0, rows / max(1, total))
-    chosen = marks.filter(id_crc(id_col, 1_000_003) < int(share * 1_000_003)) if share < 1 else marks
+    chosen = marks.filter(sampled(id_col, share)) if share < 1 else marks
     stats = text_stats(docs.join(F.broadcast(chosen), id_col, "left_semi"), id_col).join(F.broadcast(chosen), id_col)
     own = stats.select(*[F.expr(x).cast("double").alias(k) for k, x in FEATURES.items()], (F.col("label") == 0).alias("bad"), (id_crc(id_col, 3) == 0).alias("held"))
-    return stored(own.coalesce(4))
+    return stored(own.repartition(6))
 
 
 def learn_rules(sample: DataFrame) -> list[Rule]:

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import id_crc, stored
+from sheafcalc.llm.common import sampled, stored
 
 #: Bounds of learning: labelled rows, lexicon words learned, texts that must use one.
 SAMPLE_ROWS, LEXICON_WORDS, LEAST_TEXTS = 16_000, 600, 5
@@ -92,7 +92,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, la
     """id, text, label and part (a number from 0 to 3) of at most about `rows` labelled texts that may be learned from."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn).groupBy(id_col).agg(F.max(label_col).cast("double").alias("label"))
     share = min(1.0, rows / max(1, marks.count()))
-    chosen = marks.filter(id_crc(id_col, 1_000_003) < int(share * 1_000_003)) if share < 1 else marks
+    chosen = marks.filter(sampled(id_col, share)) if share < 1 else marks
     own = docs.select(F.col(id_col).alias("id"), F.col("text"))
     return own.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").withColumn("part", F.crc32(F.concat(F.lit("part"), F.col("id").cast("string")).cast("binary")) % 4)
 

@@ -1,8 +1,9 @@
 """Zstandard web archives: one frame per record, the dictionary in a leading skippable frame.
 
-Writing: every task writes one archive through Spark's text writer. A row is a frame, and the line
-separator is an empty skippable frame, so a file is a plain sequence of frames on any file system that
-Spark reaches: first the skippable frame (magic 0x184D2A5D) with the dictionary, then the records.
+Writing: tasks write archives through Spark's text writer. A row is a frame, and the line separator is an
+empty skippable frame, so a file is a plain sequence of frames on any file system that Spark reaches: first
+the skippable frame (magic 0x184D2A5D) with the dictionary, then the records. A file ends after a fixed number
+of rows; an archive that reaches its bytes before is filled up with empty rows, so the next one begins a file.
 Reading: the dictionary is loaded from the leading skippable frame, each further frame is decoded by
 itself, and WARC headers, block lengths and digests are validated.
 
@@ -30,6 +31,8 @@ DATE = "2024-01-01T00:00:00Z"
 #: The dictionary is trained on so many pages at most, of so many bytes each.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 16_384, 32_768
 LEVEL = 3
+#: Rows of a file, and bytes of frames after which an archive ends.
+FILE_ROWS, FILE_BYTES = 1 << 16, 128 << 20
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -56,7 +59,7 @@ def record(page: int | None, url: str | None, digest: str, length: int, payload:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES) -> None:
     """Write a record for each row of pages. Of rows with equal payloads of at least min_bytes bytes, that with
     the largest id is a response and the others are revisits of it; smaller ones are all responses."""
     own = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
@@ -65,20 +68,31 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     first = own.filter(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("page").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha1", "first")
     sample = own.filter(F.col("size") > 0).limit(SAMPLE_ROWS).select(F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).collect()
     dictionary = train_dictionary([bytes(r.payload) for r in sample])
-    frames = own.join(first, "sha1", "left").withColumn("to", F.when(F.col("page").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
+    # Who revisits whom is settled on ids and digests; payloads are then met by digest and page, so a hot page is spread.
+    revisits = own.select("sha1", "page").distinct().join(first, "sha1").filter(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("sha1").alias("of"), F.col("page").alias("by"), F.col("first").alias("to"))
+    frames = own.join(revisits, (F.col("sha1") == F.col("of")) & F.col("page").eqNullSafe(F.col("by")), "left")
     frames = frames.select("page", "url", "size", "to", F.when(F.col("to").isNull(), F.col("payload")).alias("payload"), F.unhex("sha1").alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True, write_content_size=True)
         head = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
-        yield pa.RecordBatch.from_arrays([pa.array([head], pa.binary())], ["frame"])
+        out, rows, size = [head], 1, 0
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                rows = b.slice(at, 64).to_pylist()
-                out = [packer.compress(record(r["page"], r["url"], base64.b32encode(r["digest"]).decode(), r["size"], r["payload"], r["to"])) for r in rows]
+                for r in b.slice(at, 64).to_pylist():
+                    if rows and size >= file_bytes:
+                        out += [b""] * (file_rows - rows)
+                        rows = file_rows
+                    if rows == file_rows:
+                        out, rows, size = [*out, head], 1, 0
+                    out.append(packer.compress(record(r["page"], r["url"], base64.b32encode(r["digest"]).decode(), r["size"], r["payload"], r["to"])))
+                    rows, size = rows + 1, size + len(out[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    frames.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", EMPTY_FRAME).text(folder)
+    frames.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("frame")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", file_rows).text(folder)
 
 
 def frames_of(archive: bytes) -> Iterator[bytes]:
