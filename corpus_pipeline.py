@@ -1,7 +1,8 @@
 """The corpus pipeline: language, near duplicates, shared strings, benchmark passages, mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next one's docs. All but the last return the columns of docs. Rows that repeat a doc_id stay or go together.
+next one's docs. All but the last return the columns of docs. Rows that repeat a doc_id stay or go together; rows without
+one are judged each. Null and empty texts have no language and go in the first stage; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -29,11 +30,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.filter((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_SHARE)).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """docs with an id for each row that has none, above all others, and the largest id that was there; None where no row
+    lacks one. The new ids are stored, so that they stay what they are when a task runs again."""
+    lone = docs.filter("doc_id IS NULL")
+    if not lone.limit(1).count():
+        return docs, None
+    top = docs.agg(F.max("doc_id").cast("long")).first()[0] or 0
+    lone = stored(lone.withColumn("doc_id", F.lit(top + 1) + F.monotonically_increasing_id()))
+    return docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(lone), top
+
+
+def without(docs: DataFrame, gone: DataFrame, top: int | None, like: DataFrame) -> DataFrame:
+    """Rows of numbered docs whose id is not among those that go, with the columns they came with."""
+    left = docs.join(small(gone, gone.count(), BROADCAST_IDS), "doc_id", "left_anti")
+    if top is not None:
+        left = left.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")).cast(like.schema["doc_id"].dataType))
+    return left.select(*like.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays."""
+    """Of each group of near duplicates the document of smallest id stays; one without an id goes before all others."""
+    like, (docs, top) = docs, numbered(docs)
     groups = jaccard_join.link_classes(docs.select("doc_id", "text"), SHINGLE, *SIMILAR)
-    gone = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(small(gone, gone.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, stored(groups.filter("component_id <> doc_id").select("doc_id").distinct()), top, like)
 
 
 def shared_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +67,9 @@ def shared_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold a window of a benchmark item."""
+    like, (docs, top) = docs, numbered(docs)
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = stored(found.filter("contaminated").select("doc_id").distinct())
-    return docs.join(small(gone, gone.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, stored(found.filter("contaminated").select("doc_id").distinct()), top, like)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
