@@ -11,9 +11,9 @@ A bucket of ranges sends a forest, each class beside the least one that its chai
 buckets say of one cluster is mostly the same and falls together. A range that an eighth of a task's classes
 have is chained in the task, and one class of it goes on.
 
-A cluster beyond a block is joined block by block with its leader in each; only members that this leaves
-outside the cluster's main component are then taken to every block, so no link between different
-components is lost and copies are never expanded into pairs.
+A cluster beyond a block is joined block by block with its most central members in each (those that share most
+with a sample of a block); only members that this leaves outside the cluster's main component are then taken to
+every block, so no link between different components is lost and copies are never expanded into pairs.
 
 Null and empty texts have empty sets and link with nothing; an empty table gives an empty one. With fewer
 words than n the whole sequence is the only n-gram. A very long text is a piece of its own in a task. Rows
@@ -27,16 +27,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafcalc.llm.common import FOLD, SPACED, U64, buffers, discard, mix, pieces, range_hashes, release, small, spans, stored
 from sheafcalc.llm.components import components
 
 #: Ratio of neighbouring size classes, classes of a block, children of a node, 64-bit words of a bitmap at least and at most, classes broadcast at most.
-GROWTH, BLOCK, FAN, NARROWEST, BITMAP, BROADCAST_ROWS = 1.6, 2048, 8, 2, 32, 400_000
+GROWTH, BLOCK, FAN, NARROWEST, BITMAP, BROADCAST_ROWS = 1.6, 2048, 8, 2, 128, 400_000
 #: Leaders compared with all members before the traversal, node pairs looked at together, and words of the widest bitmaps.
-LEADERS, PORTION, WIDEST = 4, 4_000, 1024
+LEADERS, PORTION, WIDEST = 4, 4_000, 256
+#: n-grams of the sets of a block or pack at most, members of a block that the centre is estimated from, central members of a cluster.
+BLOCK_GRAMS, SAMPLE, HUBS = 1 << 20, 64, 8
 #: Bytes of text whose range digests share a bucket, buckets at most (16 M of them hold 256 TB), keys that a task gathers before it sends.
 BUCKET_BYTES, BUCKETS, FLUSH_KEYS = 16 << 20, 1 << 24, 1_000_000
 #: A range is hot in a task where so many of the gathered classes have it: an eighth, and 256 at least.
@@ -298,10 +300,19 @@ def candidates(s: Tree, t: Tree, num: int, den: int) -> Iterator[tuple[np.ndarra
             stack.append((i, a[k : k + PORTION], j, b[k : k + PORTION]))
 
 
-def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int], bool] | None = None) -> list[int]:
+def centrality(sig: Signatures, among: np.ndarray) -> np.ndarray:
+    """For each of some members the mean share of its bits that members of an even sample of them have too."""
+    of = among[np.linspace(0, len(among) - 1, min(SAMPLE, len(among))).astype(np.int64)]
+    out = np.zeros(len(among))
+    for i in of.tolist():
+        out += np.bitwise_count(sig.bits[among] & sig.bits[i]).sum(axis=1) / np.maximum(1, np.maximum(sig.weight[among], sig.weight[i]))
+    return out / max(1, len(of))
+
+
+def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int], bool] | None = None, hubs: list[int] = []) -> list[int]:  # noqa: B006
     """For each member the first member of its component of links (of possible links, where linked is not given).
 
-    A few leaders are compared with all members first; that connects groups of near copies at once. Members that
+    A few leaders, the hubs and then the most central of what is left, are compared with all members first; that connects groups of near copies at once. Members that
     are in no leader's component go through the dual traversal against all members. What is left are links between
     two leaders' components: each two are traversed until they connect."""
     n = len(sig.size)
@@ -321,10 +332,11 @@ def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int],
 
     leaf = (sig.bits, sig.weight, sig.size, sig.size)
     everyone = rest = np.flatnonzero(sig.size > 0)
-    for _ in range(LEADERS):
+    for turn in range(len(hubs) + LEADERS):
         if len(rest) < 2:
             break
-        lead = np.full(len(everyone), rest[len(rest) // 2])
+        first = hubs[turn] if turn < len(hubs) else rest[int(centrality(sig, rest).argmax())]
+        lead = np.full(len(everyone), first)
         for k in range(0, len(everyone), PORTION):
             keep = possible(leaf, lead[k : k + PORTION], leaf, everyone[k : k + PORTION], num, den)
             join(lead[k : k + PORTION][keep], everyone[k : k + PORTION][keep])
@@ -349,7 +361,7 @@ def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int],
     return [find(i) for i in range(n)]
 
 
-def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
+def linked_parts(sets: list[np.ndarray], num: int, den: int, hubs: list[int] = []) -> list[int]:  # noqa: B006
     """For each set the first set of its component of links."""
 
     def linked(i: int, j: int) -> bool:
@@ -361,7 +373,7 @@ def linked_parts(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     most = max((len(x) for x in sets), default=0)
     words = min(WIDEST, max(BITMAP, 1 << (max(1, most // 8) - 1).bit_length()))
     bits = np.stack([bitmap(x, words) for x in sets]) if sets else np.zeros((0, words), U64)
-    return connected(Signatures(bits, np.array([len(x) for x in sets], np.int64)), num, den, linked)
+    return connected(Signatures(bits, np.array([len(x) for x in sets], np.int64)), num, den, linked, hubs)
 
 
 def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
@@ -383,7 +395,7 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     split = np.zeros(0, np.int64)
     ids_of = lambda h, at: class_ids(h, at, split, id_bits)
     rows = rows_by(ids_of)
-    by_class = lambda: rows.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("n"), (F.min("second") != F.max("second")).alias("shared"))
+    by_class = lambda: rows.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("n_shingles").alias("grams"), (F.min("second") != F.max("second")).alias("shared"))
     named = stored(by_class())
     # Of 1e10 different sets about three pairs share an id; those take their second digest.
     if shared := [r[0] for r in named.filter("shared").select("class").collect()]:
@@ -391,7 +403,7 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
         discard(rows, named)
         rows = rows_by(ids_of)
         named = stored(by_class())
-    first = named.select("class", "id")
+    first = named.select("class", "id", "grams")
     clusters, texts = candidate_clusters(own, first, n, ranges, ids_of)
     links = verified(clusters, texts, num, den)
     linked = components(links).withColumnRenamed("node", "class")
@@ -548,25 +560,32 @@ def members_of(own: DataFrame, classes: DataFrame, n: int, ids_of: Callable[...,
 
 def verified(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """u, v: links (or chains of links) between classes of one cluster, enough to connect every component."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    placed = clusters.select("class", "cluster").join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    # A cluster beyond one block is dealt over blocks by class; its leader stands in each.
-    of = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("class") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
-    n_placed = clusters.count()
-    packs = max(1, n_placed // 256)
-    sets = sets.join(small(placed.select("class", "cluster", "blocks", of.alias("of")), n_placed, BROADCAST_ROWS), "class")
+    spark = clusters.sparkSession
+    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    placed = stored(clusters.select("class", "cluster").join(sizes, "cluster"))
+    n_placed, n_grams = clusters.agg(F.count("*"), F.sum("grams")).first()
+    packs = int(max(1, n_placed // 256, 4 * (n_grams or 0) // BLOCK_GRAMS))
+    many = F.col("blocks") > 1
+    # A cluster beyond one block is dealt over blocks by class; its hubs stand in each.
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    sets = sets.join(small(placed, n_placed, BROADCAST_ROWS), "class")
+    some_large = placed.filter(many).limit(1).count() > 0
+    hubs = stored(hubs_of(sets.filter(many).withColumn("block", block))) if some_large else placed.limit(0).select("class")
+    is_hub = F.col("hub") & many
+    of = F.when(~many, F.array(F.lit(0))).when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    sets = sets.join(F.broadcast(hubs.withColumn("hub", F.lit(True))) if not some_large or hubs.count() <= BROADCAST_ROWS else hubs.withColumn("hub", F.lit(True)), "class", "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
 
     def join(t: pa.Table) -> pa.Table:
         u, v = [], []
         by: dict[int, list[int]] = {}
-        ids, raw = t.column("class").to_pylist(), t.column("members")
+        ids, raw, hub = t.column("class").to_pylist(), t.column("members"), t.column("hub").to_pylist()
         seen = set()
         for i, c in enumerate(t.column("cluster").to_pylist()):
             if ids[i] not in seen:
                 seen.add(ids[i])
                 by.setdefault(c, []).append(i)
         for at in by.values():
-            roots = linked_parts([np.frombuffer(raw[i].as_py(), U64) for i in at], num, den)
+            roots = linked_parts([np.frombuffer(raw[i].as_py(), U64) for i in at], num, den, [k for k, i in enumerate(at) if hub[i]])
             for i, r in enumerate(roots):
                 if r != i:
                     u.append(ids[at[i]])
@@ -574,28 +593,54 @@ def verified(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def joined(units: DataFrame, keys: list[Column]) -> DataFrame:
-        dealt = units.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "class", "cluster", "members")
+        dealt = units.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "class", "cluster", "members", "hub")
         return stored(dealt.groupBy("k0", "k1", "k2").applyInArrow(join, "u long, v long"))
 
-    alone, many = F.lit(-1), F.col("blocks") > 1
-    units = sets.withColumn("block", F.explode("of"))
+    alone = F.lit(-1)
+    units = sets.withColumn("block", F.explode(of))
     links = joined(units, [F.when(many, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(packs))), F.when(many, F.col("block")).otherwise(alone), F.lit(0)])
-    release(clusters.sparkSession)
-    if not sizes.filter(F.col("size") > BLOCK).limit(1).count():
+    release(spark)
+    if not some_large:
+        discard(placed)
         return links
-    large = stored(sets.filter(many))
+    large = sets.filter(many).withColumn("hub", F.lit(False))
     # Members outside the main component of a large cluster meet every block of it.
     roots = components(links).withColumnRenamed("node", "class")
-    parts = large.select("class", "cluster", "blocks").distinct().join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    parts = placed.filter(many).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     counts = parts.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
     outside = stored(parts.join(main, "cluster").filter("root <> main").select("class", "cluster", "blocks"))
-    chunks = outside.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    if not outside.limit(1).count():
+        discard(placed, hubs, outside, roots)
+        return links
+    # Chunks of the outsiders are as large as blocks of the cluster.
+    chunks = outside.groupBy("cluster").agg(F.count("*").alias("n")).join(placed.groupBy("cluster").agg(F.count("*").alias("size"), F.max("blocks").alias("b")), "cluster")
+    chunks = chunks.select("cluster", F.ceil(F.col("n") * F.col("b") / F.col("size")).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks")).cast("int")
-    stray = large.join(outside.select("class"), "class").join(chunks, "cluster").select("class", "cluster", "members", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    home = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    there = large.join(chunks, "cluster").select("class", "cluster", "members", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), home.alias("block"))
+    n_outside = outside.count()
+    stray = large.join(small(outside.select("class"), n_outside, BROADCAST_ROWS), "class").join(chunks, "cluster").select("class", "cluster", "members", "hub", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    there = large.join(chunks, "cluster").select("class", "cluster", "members", "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), block.alias("block"))
     again = joined(stray.unionByName(there), [F.col("cluster"), F.col("block"), F.col("chunk")])
     both = stored(links.unionByName(again))
-    discard(links, again, outside, large, roots)
+    discard(links, again, outside, placed, hubs, roots)
     return both
+
+
+def hubs_of(sets: DataFrame) -> DataFrame:
+    """class of the most central members of each large cluster, by the bitmaps of its blocks."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [bitmap(np.frombuffer(x.as_py(), U64)).tobytes() for x in b.column("members")]
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("cluster"), b.column("block"), pa.array(bits, pa.binary())], ["class", "cluster", "block", "bits"])
+
+    def central(t: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, BITMAP)
+        score = centrality(Signatures(bits, np.ones(len(bits))), np.arange(len(bits)))
+        best = np.argsort(-score, kind="stable")[:HUBS]
+        return pa.table({"class": t.column("class").take(pa.array(best)), "cluster": t.column("cluster").take(pa.array(best)), "score": pa.array(score[best])})
+
+    bits = sets.select("class", "cluster", "block", "members").mapInArrow(signed, "class long, cluster long, block int, bits binary")
+    found = bits.groupBy("cluster", "block").applyInArrow(central, "class long, cluster long, score double").groupBy("class", "cluster").agg(F.max("score").alias("score"))
+    by = Window.partitionBy("cluster").orderBy(F.desc("score"), "class")
+    return found.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= HUBS).select("class")
