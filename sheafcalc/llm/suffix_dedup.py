@@ -33,7 +33,7 @@ LENGTH, ANCHOR, SEED_GRAM = 50, 28, 5
 #: Strings of large anchors that a task compares at a time.
 STRINGS = 400_000
 #: Bytes of text whose occurrences share a bucket, that a task gathers before it sends, that are put together again; and of a block of suffixes.
-BUCKET_BYTES, FLUSH_BYTES, PART_BYTES, BLOCK_BYTES = 24 << 20, 24 << 20, 12 << 20, 1 << 20
+BUCKET_BYTES, FLUSH_BYTES, PART_BYTES, BLOCK_BYTES = 16 << 20, 10 << 20, 12 << 20, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
