@@ -65,7 +65,7 @@ def rule_r002(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rule_r003_hidden_constant", r"""
-SELECT doc_id, CAST(len([x FOR x IN regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)?') IF CAST(x AS DOUBLE) NOT IN (0, 1, 2, 3, 4, 7, 10, 12, 24, 60, 100, 365)]) AS BIGINT) AS n_constants FROM documents""")
+SELECT doc_id, CAST(len([x FOR x IN regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)?') IF CAST(x AS DOUBLE) NOT IN (-1, 0, 1, 2, 4, 7, 12, 24, 60, 100, 365, 1000)]) AS BIGINT) AS n_constants FROM documents""")
 def rule_r003(spark: SparkSession, d: str) -> DataFrame:
     """Number literals that are not benign ones, counted for each text."""
     found = F.expr(r"regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\\.[0-9]+)?', 0)")

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sheafcalc-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sheafcalc-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: later steps do not recompute it, also when an executor is lost."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written as Parquet (a folder for each value of `by`) and read again: later steps do not recompute it, also when
+    an executor is lost."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    out = df.write if by is None else df.repartition(by).write.partitionBy(by)
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
