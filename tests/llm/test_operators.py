@@ -340,3 +340,25 @@ def test_mixing_water_level(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "en", s) for s, n in (("a1", 2), ("b4", 50), ("c7", 50)) for i in range(n)], "doc_id long, text string, lang string, source string")
     got = {r.source: r.n for r in mixing.mix(docs, share=500, epochs=1).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("n")).collect()}
     assert got == {"a1": 20, "b4": 240, "c7": 240} or (got["a1"] == 20 and abs(got["b4"] - 245) <= 10 and abs(got["c7"] - 245) <= 10)
+
+
+def test_ids_that_sets_share_are_split(spark):
+    texts = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_classes(docs, id_bits=3).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+
+
+def test_foreign_script_scores_nothing(spark):
+    train = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    texts = spark.createDataFrame([(1, "漢字 собака"), (2, "the dog собака")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.label(texts, language_id.train(train, F.lit(True))).collect()}
+    assert got[1].score == 0 and got[1].lang_pred in ("de", "en") and got[2].lang_pred == "en" and got[2].score == 0.5
+
+
+def test_archives_roll_over(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(50)], "page_id long, url string, html string").coalesce(1)
+    folder = work_dir(spark)
+    warc.write_archives(pages, folder, file_rows=8, file_bytes=400)
+    assert {r.page_id for r in warc.read_archives(spark, folder).collect()} == set(range(50))
+    assert spark.read.format("binaryFile").load(folder).count() > 7
