@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import FOLD, SPACED, U64, buffers, discard, mix, pieces, range_hashes, release, small, spans, stored
+from sheafcalc.llm.common import FOLD, SPACED, U64, buffers, discard, lean, mix, pieces, range_hashes, release, small, spans, stored
 from sheafcalc.llm.components import components
 
 #: Ratio of neighbouring size classes, classes of a block, children of a node, 64-bit words of a bitmap at least and at most, classes broadcast at most.
@@ -383,6 +383,7 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def rows_by(ids_of: Callable[..., np.ndarray]) -> DataFrame:
+        @lean
         def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in pieces(whole, "text"):
@@ -430,6 +431,7 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
     size = own.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     buckets = int(min(BUCKETS, max(6, -(-size // BUCKET_BYTES))))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
 
@@ -453,6 +455,7 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
         if held:
             yield flush()
 
+    @lean
     def gather(t: pa.Table) -> pa.Table:
         chain = np.array(t.column("chain").to_pylist())
         blobs = [x.as_py() for x in t.column("blob")]
@@ -467,6 +470,7 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
     wanted = stored(uses.select("class").distinct().join(first, "class"))
     n_wanted = wanted.count()
 
+    @lean
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
@@ -474,6 +478,7 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
                 bits = [bitmap(h[i:e], width(int(e - i))).tobytes() for i, e in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids_of(h, at)), pa.array(np.diff(at)), pa.array(bits, pa.binary())], ["id", "class", "size", "bits"])
 
+    @lean
     def prune(left: pa.Table, right: pa.Table) -> pa.Table:
         known, row = np.unique(right.column("class").to_numpy(), return_index=True)
         raw = right.column("bits").to_pylist()
@@ -536,12 +541,14 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
 def members_of(own: DataFrame, classes: DataFrame, n: int, ids_of: Callable[..., np.ndarray]) -> DataFrame:
     """class and members (digests of its n-grams) of the classes, read again from one text of each (a repeated row repeats them)."""
 
+    @lean
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
                 h, _, at = ngram_sets(b, n)
                 yield pa.RecordBatch.from_arrays([b.column("class"), pa.array(ids_of(h, at)), pa.array([h[i:e].tobytes() for i, e in zip(at, at[1:], strict=False)], pa.binary())], ["class", "got", "members"])
 
+    @lean
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, "text"):
@@ -575,6 +582,7 @@ def verified(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     of = F.when(~many, F.array(F.lit(0))).when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
     sets = sets.join(F.broadcast(hubs.withColumn("hub", F.lit(True))) if not some_large or hubs.count() <= BROADCAST_ROWS else hubs.withColumn("hub", F.lit(True)), "class", "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
 
+    @lean
     def join(t: pa.Table) -> pa.Table:
         u, v = [], []
         by: dict[int, list[int]] = {}
@@ -629,11 +637,13 @@ def verified(clusters: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 def hubs_of(sets: DataFrame) -> DataFrame:
     """class of the most central members of each large cluster, by the bitmaps of its blocks."""
 
+    @lean
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = [bitmap(np.frombuffer(x.as_py(), U64)).tobytes() for x in b.column("members")]
             yield pa.RecordBatch.from_arrays([b.column("class"), b.column("cluster"), b.column("block"), pa.array(bits, pa.binary())], ["class", "cluster", "block", "bits"])
 
+    @lean
     def central(t: pa.Table) -> pa.Table:
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(-1, BITMAP)
         score = centrality(Signatures(bits, np.ones(len(bits))), np.arange(len(bits)))

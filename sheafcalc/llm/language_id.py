@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import pieces, small
+from sheafcalc.llm.common import give_back, lean, pieces, small
 
 #: Bounds of learning: texts, languages, trigrams of a language, characters of a text that are counted in one go.
 SAMPLE_ROWS, LANGUAGES, GRAMS = 6_000, 200, 20_000
@@ -93,6 +93,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         share = F.greatest(F.lit(rows / total), F.lit(rows / n_langs) / F.col("n")) / 2
         own = own.join(small(sizes, n_langs, 100_000), "lang").filter((F.col("n") <= rows / n_langs / 2) | sampled_by(id_col, share))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = {}
         for b in batches:
@@ -212,6 +213,7 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
         for whole in batches:
@@ -238,5 +240,7 @@ def labels_of(model: Model, text: Column, spark: SparkSession) -> Column:
                 x, y, _ = labeller.label(list(texts.iloc[i:j]))
                 langs, scores, i = langs + x, scores + y, j
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        del labeller
+        give_back()
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)

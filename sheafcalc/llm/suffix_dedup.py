@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import BYTE_WORDS, U64, buffers, mix, pieces, powers, release, stored
+from sheafcalc.llm.common import BYTE_WORDS, U64, buffers, lean, mix, pieces, powers, release, stored
 from sheafcalc.llm.lyndon import suffix_array
 from sheafcalc.llm.pitman_yor import opened, shut
 
@@ -121,6 +121,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
     buckets = int(max(8, -(-size // BUCKET_BYTES)))
     own = own.withColumn("tag", F.expr("xxhash64(order, text) & 4294967295")).withColumn("part", F.expr(f"cast(tag % {parts} as int)"))
 
+    @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -162,6 +163,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
         if held:
             yield flush()
 
+    @lean
     def gather(t: pa.Table) -> pa.Table:
         part = t.column("part").to_pylist()
         blobs = [x.as_py() for x in t.column("blob")]
@@ -199,6 +201,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
         return own, found.select("part", "blob"), parts
     blocks = int(max(6, -(-symbols // BLOCK_BYTES)))
 
+    @lean
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         """Bytes of the open occurrences of the texts of a part, for each block of anchors."""
         texts = {(o, g): t.as_buffer() for o, g, t in zip(left.column("order").to_pylist(), left.column("tag").to_pylist(), left.column("text").cast(pa.binary()) if left.num_rows else [], strict=True)}
@@ -233,6 +236,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
                     out.append((block, -1, shut(ids[o], tags[o].astype(np.uint32), (start[o] + k[x]).astype(np.uint32), (off[o] - k[x]).astype(np.uint16), np.ones(len(x), np.uint16), string[x].ravel())))
         return pa.table({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("block", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())))})
 
+    @lean
     def compare(t: pa.Table) -> pa.Table:
         both = list(zip(t.column("part").to_pylist(), t.column("blob"), strict=True))
         out = [(k, x.as_py()) for k, x in both if k >= 0]
@@ -350,6 +354,7 @@ def kept_texts(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_c
     kind = docs.schema[id_col].dataType.simpleString()
     own, packed, _ = removals(docs, length, anchor, id_col, text_col, rest)
 
+    @lean
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cover: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for blob in right.column("blob"):

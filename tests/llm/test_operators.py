@@ -362,3 +362,14 @@ def test_archives_roll_over(spark):
     warc.write_archives(pages, folder, file_rows=8, file_bytes=400)
     assert {r.page_id for r in warc.read_archives(spark, folder).collect()} == set(range(50))
     assert spark.read.format("binaryFile").load(folder).count() > 7
+
+
+def test_lean_functions_return_what_they_did():
+    from sheafcalc.llm.common import lean
+
+    def batches(b):
+        yield from b
+
+    assert list(lean(batches)(iter([1, 2]))) == [1, 2]
+    assert lean(lambda t: t + 1)(1) == 2
+    assert lean(lambda left, right: (left, right))(1, 2) == (1, 2)
