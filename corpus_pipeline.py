@@ -90,7 +90,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixture", mixture),
 ]
 
-#: Language, near duplicates and shared strings are beyond SQL; tests hold their operators, but not run() as a whole, against brute force.
+#: Language, near duplicates and shared strings are beyond SQL; tests hold run() against brute force (texts without a letter for language).
 ORACLE_SQL = None
 
 
