@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafcalc.llm import decontaminate, jaccard_join, language_id, mixing, pitman_yor, quality_rules, suffix_dedup, toxicity, warc
+from sheafcalc.llm import decontaminate, jaccard_join, language_id, mixing, pitman_yor, prefix_trie, quality_rules, sharding, suffix_dedup, toxicity, warc, whitening
 from sheafcalc.llm.common import id_crc, table, work_dir
 from sheafcalc.llm.token_counts import count_tokens
 
@@ -58,6 +58,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -69,10 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_sharding": op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql(), "op12_prefix_trie": prefix_trie.oracle_sql()}
 
 # DuckDB has no base32; the digest is spelled from the bits of the hexadecimal SHA-1.
 ORACLE_SQL["op2_warc"] = """

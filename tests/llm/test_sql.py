@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, SMALL)
     rows = sorted(repr(tuple(r[c] for c in sorted(got.columns))) for r in got.collect())
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     at = [want.columns.index(c) for c in sorted(want.columns)]
