@@ -25,4 +25,15 @@ def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     path = folder(df.sparkSession)
     out = df.write if by is None else df.repartition(by).write.partitionBy(by)
     out.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_folder", None):
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
