@@ -177,18 +177,20 @@ def fv(rate: Column, n: Column, payment: Column, pv: Column | float = 0.0, when:
     return F.when(rate == 0, -(pv + payment * n)).otherwise(-(pv * g + payment * (1 + rate * when) * F.try_divide(g - 1, rate)))
 
 
-def irr(flows: Column, steps: int = 200) -> Checked:
-    """Rate where the present value of an array of flows is 0, by bisection between -0.9999 and 10, all in the JVM."""
+def irr(flows: Column, low: float = -0.9999, high: float = 10.0, steps: int = 200) -> Checked:
+    """Rate between low and high at which an array of flows is worth 0 today, by halving the bracket, all in the JVM: of two
+    halves the one is kept at whose ends the worth differs in sign. Flows of one sign, or worth of one sign at both ends, are #NUM!."""
     def worth(rate: Column) -> Column:
         return F.aggregate(F.transform(flows, lambda v, i: v / F.pow(1 + rate, i.cast("double"))), F.lit(0.0), lambda a, x: a + x)
 
-    start = F.struct(F.lit(-0.9999).alias("lo"), F.lit(10.0).alias("hi"))
+    rising = worth(F.lit(high)) > 0
+    start = F.struct(F.lit(low).alias("from"), F.lit(high).alias("to"))
 
-    def half(acc: Column, _: Column) -> Column:
-        middle = (acc["lo"] + acc["hi"]) / 2
-        right = worth(middle) > 0
-        return F.struct(F.when(right, middle).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(middle).alias("hi"))
+    def half(span: Column, _: Column) -> Column:
+        middle = (span["from"] + span["to"]) / 2
+        keep_low = (worth(middle) > 0) == rising
+        return F.struct(F.when(keep_low, span["from"]).otherwise(middle).alias("from"), F.when(keep_low, middle).otherwise(span["to"]).alias("to"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    signs = F.exists(flows, lambda v: v > 0) & F.exists(flows, lambda v: v < 0)
-    return Checked.of(found, (~signs, NUM))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda span: (span["from"] + span["to"]) / 2)
+    both = F.exists(flows, lambda v: v > 0) & F.exists(flows, lambda v: v < 0)
+    return Checked.of(found, (~both | (worth(F.lit(low)) * worth(F.lit(high)) > 0), NUM))
