@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheafcalc.operators.cells import SCHEMA
-from sheafcalc.plans.formula import column_letters, column_number
+from sheafcalc.plans.formula import column_letters, column_number, reference
 
 #: Names of the file format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -22,10 +24,43 @@ MOST_BYTES = 15 << 20
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 HIDDEN = "workbook_id string, sheet string, axis string, line int"
 #: Number formats that files name by number only.
-_MONEY, _PLAIN = '"$"#,##0{0}_);{1}\\("$"#,##0{0}\\)', "#,##0{0}_);{1}(#,##0{0})"
-FORMATS = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@"}
-FORMATS |= {k + i: form.format(("", ".00")[i > 1], ("", "[Red]")[i % 2]) for k, form in ((5, _MONEY), (37, _PLAIN)) for i in range(4)}
-FORMATS |= {41 + i: '_({0}* #,##0{1}_);_({0}* \\(#,##0{1}\\);_({0}* "-"{2}_);_(@_)'.format(("", '"$"')[i % 2], ("", ".00")[i > 1], ("", "??")[i > 1]) for i in range(4)}
+FORMATS = {
+    1: '0',
+    2: '0.00',
+    3: '#,##0',
+    4: '#,##0.00',
+    5: '"$"#,##0_);\\("$"#,##0\\)',
+    6: '"$"#,##0_);[Red]\\("$"#,##0\\)',
+    7: '"$"#,##0.00_);\\("$"#,##0.00\\)',
+    8: '"$"#,##0.00_);[Red]\\("$"#,##0.00\\)',
+    9: '0%',
+    10: '0.00%',
+    11: '0.00E+00',
+    12: '# ?/?',
+    13: '# ??/??',
+    14: 'mm-dd-yy',
+    15: 'd-mmm-yy',
+    16: 'd-mmm',
+    17: 'mmm-yy',
+    18: 'h:mm AM/PM',
+    19: 'h:mm:ss AM/PM',
+    20: 'h:mm',
+    21: 'h:mm:ss',
+    22: 'm/d/yy h:mm',
+    37: '#,##0_);(#,##0)',
+    38: '#,##0_);[Red](#,##0)',
+    39: '#,##0.00_);(#,##0.00)',
+    40: '#,##0.00_);[Red](#,##0.00)',
+    41: '_(* #,##0_);_(* \\(#,##0\\);_(* "-"_);_(@_)',
+    42: '_("$"* #,##0_);_("$"* \\(#,##0\\);_("$"* "-"_);_(@_)',
+    43: '_(* #,##0.00_);_(* \\(#,##0.00\\);_(* "-"??_);_(@_)',
+    44: '_("$"* #,##0.00_);_("$"* \\(#,##0.00\\);_("$"* "-"??_);_(@_)',
+    45: 'mm:ss',
+    46: '[h]:mm:ss',
+    47: 'mmss.0',
+    48: '##0.0E+0',
+    49: '@',
+}
 #: Texts and quoted sheets, which stay; names, functions and sheets, which stay; references: cells, columns, rows.
 SHIFTED = re.compile(r"""("(?:[^"]|"")*"|'(?:[^']|'')*'|\[[^\]]*\])|(?<![\w.$])(?:(\$?)([A-Za-z]{1,3})(\$?)(\d+)|(\$?)([A-Za-z]{1,3}):(\$?)([A-Za-z]{1,3})|(\$?)(\d+):(\$?)(\d+))(?![\w.(!])""")
 
@@ -55,28 +90,93 @@ def shifted(formula: str, cols: int, rows: int) -> str:
     return SHIFTED.sub(one, formula)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all .xlsx files at path: one task takes a file, the result is one long table."""
+#: What a file that is no workbook, or a damaged one, raises while it is read.
+DAMAGED = (zipfile.BadZipFile, KeyError, AttributeError, ValueError, IndexError, ET.ParseError)
+NAMES = "workbook_id string, name string, target string"
+REJECTED = "workbook_id string, reason string"
+
+
+def each_file(spark: SparkSession, path: str, rows_of: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """rows_of(name, content) of all .xlsx files at path: one task takes a file, the result is one long table. Files that
+    can't be read give no rows; read_rejected says which and why."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).filter(f"length <= {MOST_BYTES} AND substring(content, 1, 2) = X'504B'")
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, content in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame(list(cells_of(name, content)), columns=COLUMNS)
+                try:
+                    rows = list(rows_of(name, content))
+                except DAMAGED:
+                    continue
+                yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all .xlsx files at path."""
+    return each_file(spark, path, cells_of, SCHEMA)
 
 
 def read_hidden(spark: SparkSession, path: str) -> DataFrame:
     """Hidden rows and columns of all .xlsx files at path, as audit() takes them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).filter(f"length <= {MOST_BYTES} AND substring(content, 1, 2) = X'504B'")
+    return each_file(spark, path, hidden_of, HIDDEN)
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """Defined names, and columns of tables as Table[Column], with the references they stand for; as parsed() takes them."""
+    return each_file(spark, path, names_of, NAMES)
+
+
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """Files at path that read_files leaves out, with the reason: too large, no zip file, or what is damaged."""
+    files = spark.read.format("binaryFile").load(path)
+    large, kind = F.col("length") > MOST_BYTES, ~F.lower("path").endswith(".xlsx")
+    early = F.when(kind, "not named .xlsx").when(large, f"larger than {MOST_BYTES} bytes").when(F.expr("substring(content, 1, 2) <> X'504B'"), "no zip file")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame(list(hidden_of(name, content)), columns=[x.split()[0] for x in HIDDEN.split(", ")])
-
-    return files.select("path", "content").mapInPandas(run, HIDDEN)
+            out = []
+            for name, content, reason in zip(f["path"], f["content"], f["reason"], strict=True):
+                if reason is None:
+                    try:
+                        for rows in (cells_of, hidden_of, names_of):
+                            list(rows(name, content))
+                    except DAMAGED as error:
+                        reason = f"{type(error).__name__}: {error}"[:200]
+                if reason is not None:
+                    out.append((name, reason))
+            yield pd.DataFrame(out, columns=["workbook_id", "reason"])
+
+    return files.select("path", F.when(early.isNull(), F.col("content")).alias("content"), early.alias("reason")).mapInPandas(run, REJECTED)
+
+
+def names_of(name: str, content: bytes) -> Iterator[tuple]:
+    """Defined names and table columns of a file. Only the data rows of a table count, without its header and totals."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        tree = lambda p: ET.fromstring(z.read(p))
+        book = tree("xl/workbook.xml")
+        for x in book.iter(MAIN + "definedName"):
+            if x.text and not x.get("name", "").startswith("_xlnm."):
+                yield name, x.get("name"), x.text.lstrip("=")
+        targets = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
+        for sheet in book.iter(MAIN + "sheet"):
+            part = targets[sheet.get(LINK)].lstrip("/")
+            part = part if part.startswith("xl/") else f"xl/{part}"
+            folder, _, file = part.rpartition("/")
+            links = f"{folder}/_rels/{file}.rels"
+            for r in tree(links) if links in z.namelist() else ():
+                if not r.get("Type", "").endswith("/table"):
+                    continue
+                t = tree(posixpath.normpath(posixpath.join(folder, r.get("Target"))).lstrip("/") if not r.get("Target").startswith("/") else r.get("Target").lstrip("/"))
+                first, _, last = t.get("ref").partition(":")
+                (c1, r1, _, _), (c2, r2, _, _) = reference(first), reference(last or first)
+                r1, r2 = r1 + int(t.get("headerRowCount", 1)), r2 - int(t.get("totalsRowCount", 0))
+                owner = "'" + sheet.get("name").replace("'", "''") + "'!"
+                spans = [(c.get("name"), c1 + i, c1 + i) for i, c in enumerate(t.iter(MAIN + "tableColumn"))] + [("", c1, c2)]
+                if r1 <= r2:
+                    yield from ((name, f"{t.get('displayName')}[{column}]", f"{owner}{column_letters(a)}{r1}:{column_letters(b)}{r2}") for column, a, b in spans)
 
 
 def hidden_of(name: str, content: bytes) -> Iterator[tuple]:

@@ -82,7 +82,7 @@ def test_files(spark, tmp_path):
     assert ("=SUM(Data!A1:A3)*2" in [c[4] for c in xlsx.cells_of("m", fixed)]) and b"A1:A3" not in raw
 
 
-NAMES = sorted(n for n in driver.queries() if n.split("_")[0] in ("fn", "op", "graph", "rule", "audit", "guard", "history", "grid", "join", "window", "setop"))
+NAMES = sorted(n for n in driver.queries() if n.split("_")[0] in ("cells", "fn", "op", "graph", "rule", "audit", "guard", "history", "grid", "join", "window", "setop"))
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -125,3 +125,37 @@ def test_filled_formulas_formats_and_hidden_lines_of_files(spark, tmp_path):
     assert {c[2:5] for c in xlsx.cells_of("f", fixed) if c[4]} == {(2, 1, "=A1"), (2, 2, '=A2*$A$1+SUM(A:A)&"A1"')}
     assert xlsx.shifted("SUM('A1'!B2:$C3,LOG10(D$4),X.A1,2:3)", 1, -1) == "SUM('A1'!C1:$C2,LOG10(E$4),X.A1,1:2)"
     assert xlsx.shifted("A1+B2", -1, 0) == "#REF!+A2"
+
+
+def test_names_and_tables(spark, tmp_path):
+    """Defined names, names within names, table columns and a circle of names, from a file."""
+    import io
+    import zipfile
+
+    raw = xlsx.file_of({"My Data": {"A1": "Region", "B1": "Amount", "A2": "North", "B2": 100, "A3": "South", "B3": 250, "A4": "North", "B4": 400, "A5": "Total", "B5": 1, "D1": "=SUM(Sales[Amount])", "D2": '=SUMIFS(Sales[Amount],Sales[Region],"North")', "D3": "=SUM(sales[[#Data],[amount]])*Rate", "D4": "=Twice+1", "D5": "=Loop", "D6": "=Unknown+1", "D7": "=COUNTA(Sales[])", "E1": 0.5}})
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    names = "".join(f'<definedName name="{k}">{v}</definedName>' for k, v in {"Rate": "'My Data'!$E$1", "Twice": "Rate*2+SUM(Sales[Amount])", "Loop": "Back+1", "Back": "Loop*2", "_xlnm.Print_Area": "A1"}.items())
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(raw)) as z, zipfile.ZipFile(out, "w") as to:
+        for item in z.infolist():
+            part = z.read(item).decode()
+            to.writestr(item, part.replace("</sheets>", f"</sheets><definedNames>{names}</definedNames>") if item.filename == "xl/workbook.xml" else part)
+        to.writestr("xl/worksheets/_rels/sheet1.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/table" Target="../tables/table1.xml"/></Relationships>')
+        to.writestr("xl/tables/table1.xml", f'<table {main} id="1" displayName="Sales" ref="A1:B5" totalsRowCount="1"><tableColumns count="2"><tableColumn id="1" name="Region"/><tableColumn id="2" name="Amount"/></tableColumns></table>')
+    (tmp_path / "t.xlsx").write_bytes(out.getvalue())
+    bad = io.BytesIO()
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("a.txt", "no workbook")
+    (tmp_path / "bad.xlsx").write_bytes(bad.getvalue())
+    (tmp_path / "text.xlsx").write_bytes(b"plain text")
+    (tmp_path / "old.xls").write_bytes(b"PK")
+    path = f"file://{tmp_path}"
+    known = xlsx.read_names(spark, path)
+    assert {(r.name, r.target) for r in known.collect() if "[" in r.name} == {("Sales[Region]", "'My Data'!A2:A4"), ("Sales[Amount]", "'My Data'!B2:B4"), ("Sales[]", "'My Data'!A2:B4")}
+    cells = xlsx.read_files(spark, path)
+    got = {r.row: r.value for r in recalculated(cells, names=known).filter("col = 4").collect()}
+    assert [got[k].n for k in (1, 2, 3, 4, 7)] == [750, 500, 375, 752, 6] and got[5].e == got[6].e == "#NAME?"
+    from sheafcalc.operators.cells import parsed
+
+    assert ["LOOP > BACK > LOOP" in r.parse_error for r in parsed(cells, known).filter("parse_error IS NOT NULL").collect()] == [True]
+    assert {r.workbook_id.rsplit("/", 1)[1]: r.reason.split(":")[0] for r in xlsx.read_rejected(spark, path).collect()} == {"bad.xlsx": "KeyError", "text.xlsx": "no zip file", "old.xls": "not named .xlsx"}
