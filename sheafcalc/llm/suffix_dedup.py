@@ -108,7 +108,7 @@ def settled(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, count: np.ndar
     for k, i in by_part(tags, parts):
         d, t, which = tabled(ids[i], tags[i])
         doc, s, n = runs(which, start[i], count[i])
-        yield k, shut(d, t.astype(np.uint32), doc.astype(np.uint32), s.astype(np.uint32), n.astype(np.uint32))
+        yield k, shut(d, t, doc.astype(np.uint32), s.astype(np.uint32), n.astype(np.uint32))
 
 
 def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", rest: list[str] | None = None) -> tuple[DataFrame, DataFrame, int]:
@@ -119,7 +119,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
     size = own.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = int(max(8, -(-size // PART_BYTES)))
     buckets = int(max(8, -(-size // BUCKET_BYTES)))
-    own = own.withColumn("tag", F.expr("xxhash64(order, text) & 4294967295")).withColumn("part", F.expr(f"cast(tag % {parts} as int)"))
+    own = own.withColumn("tag", F.expr("xxhash64(order, text) & 9223372036854775807")).withColumn("part", F.expr(f"cast(tag % {parts} as int)"))
 
     @lean
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
                 d, t, which = tabled(ids[i], tags[i])
                 o = np.lexsort((start[i], which))
                 i, which = i[o], which[o]
-                columns = (d, t.astype(np.uint32), which.astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16))
+                columns = (d, t, which.astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16))
                 out.append((k, -1, shut_raw(columns, (gram[i] >> U64(16), around[i]))))
             return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "part", "blob"])
 
@@ -190,7 +190,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
             symbols = np.where(large, count * (length - anchor + 2), 2 * (length - anchor) + 2)
             for k, i in by_part(tags, parts):
                 d, tg, which = tabled(ids[i], tags[i])
-                out.append((k, True, shut(d, tg.astype(np.uint32), which.astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), gram[i], large[i].astype(np.uint8)), int(symbols[i].sum())))
+                out.append((k, True, shut(d, tg, which.astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), gram[i], large[i].astype(np.uint8)), int(symbols[i].sum())))
         return pa.table({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("part", pa.int32()), ("open", pa.bool_()), ("blob", pa.binary()), ("symbols", pa.int64())))})
 
     sent = own.select("order", "tag", "text").mapInArrow(send, "bucket int, part int, blob binary")
@@ -219,7 +219,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
             few, wide = np.flatnonzero(~large), np.flatnonzero(large)
             for k, i in by_part((mix(gram[few]) >> U64(32)).astype(np.int64), blocks):
                 i = few[i]
-                out.append((k, -1, shut(ids[i], tags[i].astype(np.uint32), start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), bytes_of(i))))
+                out.append((k, -1, shut(ids[i], tags[i], start[i].astype(np.uint32), off[i].astype(np.uint16), count[i].astype(np.uint16), bytes_of(i))))
             before = np.cumsum(count[wide]) - count[wide]
             for i in np.split(wide, np.flatnonzero(np.diff(before // STRINGS)) + 1) if len(wide) else []:
                 own, k, string = strings(count[i], bytes_of(i), length)
@@ -233,7 +233,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
                     code = mix(code ^ BYTE_WORDS[string[:, j]])
                 for block, x in by_part((code >> U64(32)).astype(np.int64), blocks):
                     o = own[x]
-                    out.append((block, -1, shut(ids[o], tags[o].astype(np.uint32), (start[o] + k[x]).astype(np.uint32), (off[o] - k[x]).astype(np.uint16), np.ones(len(x), np.uint16), string[x].ravel())))
+                    out.append((block, -1, shut(ids[o], tags[o], (start[o] + k[x]).astype(np.uint32), (off[o] - k[x]).astype(np.uint16), np.ones(len(x), np.uint16), string[x].ravel())))
         return pa.table({n: pa.array([x[j] for x in out], t) for j, (n, t) in enumerate((("block", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())))})
 
     @lean

@@ -156,6 +156,13 @@ def test_half_digests_do_not_settle(spark):
     assert {r.n_removed for r in suffix_dedup.kept_texts(docs).collect()} == {0}
 
 
+def test_texts_without_ids_are_told_apart(spark):
+    # Two texts that share nothing and whose digests agree in 32 bits.
+    a, b = "bfe3461940c868bcb6942b75f9ad8e9fad7de729a267c4444ecaf236999fa858", "51b2e11a6297ffe47fbc5c76757cf709540d86e35b6fef1b82c2448e9215f3a0"
+    docs = spark.createDataFrame([(1, a), (None, a), (None, b)], "doc_id long, text string")
+    assert sorted((r.doc_id or 9, r.kept) for r in suffix_dedup.kept_texts(docs).collect()) == [(1, a), (9, ""), (9, b)]
+
+
 def test_large_anchors_are_dealt_over_blocks(spark, monkeypatch):
     size, real = 4096, suffix_dedup.compared
 
