@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafcalc.llm.common import BYTE_WORDS, U64, buffers, lean, mix, pieces, powers, release, stored
+from sheafcalc.llm.common import BYTE_WORDS, U64, buffers, give_back, lean, mix, pieces, powers, release, stored
 from sheafcalc.llm.lyndon import suffix_array
 from sheafcalc.llm.pitman_yor import opened, shut
 
@@ -34,6 +34,8 @@ LENGTH, ANCHOR, SEED_GRAM = 50, 28, 5
 STRINGS = 400_000
 #: Bytes of text whose occurrences share a bucket, that a task gathers before it sends, that are put together again; and of a block of suffixes.
 BUCKET_BYTES, FLUSH_BYTES, PART_BYTES, BLOCK_BYTES = 16 << 20, 10 << 20, 12 << 20, 1 << 20
+#: Bytes of text whose occurrences are sought at a time: each takes some hundred bytes of memory meanwhile.
+PIECE_BYTES = 256 << 10
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -128,6 +130,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
 
         def flush() -> pa.RecordBatch:
             ids, tags, start, off, count, gram, around = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             # Of occurrences with equal bytes the smallest id goes on; the others are settled here.
             key = mix(gram ^ mix(around))
             order = np.lexsort((ids, key))
@@ -151,7 +154,7 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
             return pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "part", "blob"])
 
         for whole in batches:
-            for b in pieces(whole, "text"):
+            for b in pieces(whole, "text", PIECE_BYTES):
                 row, start, off, count, gram, around = occurrences(b, length, anchor)
                 if len(row):
                     ids, tags = b.column("order").to_numpy(), b.column("tag").to_numpy()
@@ -159,7 +162,8 @@ def removals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col
                     size += int(count.sum())
                 if size >= FLUSH_BYTES:
                     yield flush()
-                    held, size = [], 0
+                    give_back()
+                    size = 0
         if held:
             yield flush()
 
