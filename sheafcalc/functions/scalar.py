@@ -177,20 +177,24 @@ def fv(rate: Column, n: Column, payment: Column, pv: Column | float = 0.0, when:
     return F.when(rate == 0, -(pv + payment * n)).otherwise(-(pv * g + payment * (1 + rate * when) * F.try_divide(g - 1, rate)))
 
 
-def irr(flows: Column, low: float = -0.9999, high: float = 10.0, steps: int = 200) -> Checked:
+def irr(flows: Column, low: float = -0.9999, high: float = 10.0, steps: int = 64) -> Checked:
     """Rate between low and high at which an array of flows is worth 0 today, by halving the bracket, all in the JVM: of two
-    halves the one is kept at whose ends the worth differs in sign. Flows of one sign, or worth of one sign at both ends, are #NUM!."""
-    def worth(rate: Column) -> Column:
-        return F.aggregate(F.transform(flows, lambda v, i: v / F.pow(1 + rate, i.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-
-    rising = worth(F.lit(high)) > 0
-    start = F.struct(F.lit(low).alias("from"), F.lit(high).alias("to"))
-
-    def half(span: Column, _: Column) -> Column:
-        middle = (span["from"] + span["to"]) / 2
-        keep_low = (worth(middle) > 0) == rising
-        return F.struct(F.when(keep_low, span["from"]).otherwise(middle).alias("from"), F.when(keep_low, middle).otherwise(span["to"]).alias("to"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda span: (span["from"] + span["to"]) / 2)
-    both = F.exists(flows, lambda v: v > 0) & F.exists(flows, lambda v: v < 0)
-    return Checked.of(found, (~both | (worth(F.lit(low)) * worth(F.lit(high)) > 0), NUM))
+    halves the one is kept at whose ends the worth differs in sign. Flows of one sign, or worth of one sign at both ends, are #NUM!.
+    After 64 halves the bracket is narrower than 1e-18. Worth is nested from the last flow on, one division for each flow."""
+    def found(back: Column) -> Column:
+        worth = lambda rate: F.aggregate(back, F.lit(0.0), lambda a, v: v + a / (1 + rate))
+        at_low, at_high = worth(F.lit(low)), worth(F.lit(high))
+        start = F.struct(F.lit(low).alias("from"), F.lit(high).alias("to"), (at_high > 0).alias("rising"))
+
+        def half(span: Column, _: Column) -> Column:
+            middle = (span["from"] + span["to"]) / 2
+            keep_low = (worth(middle) > 0) == span["rising"]
+            return F.struct(F.when(keep_low, span["from"]).otherwise(middle).alias("from"), F.when(keep_low, middle).otherwise(span["to"]).alias("to"), span["rising"].alias("rising"))
+
+        rate = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda span: (span["from"] + span["to"]) / 2)
+        both = F.exists(back, lambda v: v > 0) & F.exists(back, lambda v: v < 0)
+        return F.struct(rate.alias("rate"), (~both | (at_low * at_high > 0)).alias("none"))
+
+    # An array of one element, so that the flows are computed once and not in each step.
+    got = F.get(F.transform(F.array(F.reverse(flows)), found), F.lit(0))
+    return Checked.of(got["rate"], (got["none"], NUM))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sheafcalc.functions import scalar as S
 from sheafcalc.operators import cells as K
 from sheafcalc.operators import graph
 from sheafcalc.operators.recalc import recalculated
@@ -54,3 +55,18 @@ def test_equal_formulas_are_read_once_each_place_its_own(spark, monkeypatch):
 
     batch = pa.RecordBatch.from_pydict({"workbook_id": [str(w) for w in range(40)], "sheet": ["S"] * 40, "col": pa.array([2] * 40, pa.int32()), "row": pa.array([1] * 40, pa.int32()), "formula": ["=A1*2"] * 40, "names": pa.array([None] * 40, pa.map_(pa.string(), pa.string()))})
     assert next(K.parsed(frame)(iter([batch]))).num_rows == 40 and len(calls) == 1
+
+
+def test_rate_of_many_flows(spark):
+    many = [-100.0] + [2.0] * 400
+    rows = [(0, many), (1, [-100.0, 60.0, 60.0]), (2, [1.0, 2.0]), (3, []), (4, [-1.0, 1.0])]
+    r = S.irr(F.col("x"))
+    got = {x.k: (x.rate, x.error) for x in spark.createDataFrame(rows, "k int, x array<double>").select("k", r.value.alias("rate"), r.error.alias("error")).collect()}
+    worth = lambda x, rate: sum(v / (1 + rate) ** i for i, v in enumerate(x))
+    assert abs(worth(many, got[0][0])) < 1e-9 and abs(worth(rows[1][1], got[1][0])) < 1e-9 and abs(got[4][0]) < 1e-15
+    assert [got[k][1] for k in range(5)] == [None, None, "#NUM!", "#NUM!", None]
+
+
+def test_flows_are_computed_once(spark):
+    plan = spark.range(1).select(S.irr(F.array(F.col("id").cast("double"), F.lit(7.25))).value)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("7.25") <= 4  # value and error, none in a step
