@@ -1,7 +1,9 @@
 """What must not grow with the number of workbooks: rows through the driver, calls of grouped functions, formulas read."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sheafcalc import tables
 from sheafcalc.functions import scalar as S
 from sheafcalc.operators import cells as K
 from sheafcalc.operators import graph
@@ -70,3 +72,11 @@ def test_rate_of_many_flows(spark):
 def test_flows_are_computed_once(spark):
     plan = spark.range(1).select(S.irr(F.array(F.col("id").cast("double"), F.lit(7.25))).value)._jdf.queryExecution().analyzed().toString()
     assert plan.count("7.25") <= 4  # value and error, none in a step
+
+
+def test_tasks_follow_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_EACH", 1000)
+    x = tables.dealt(spark.range(20_000), "id")
+    assert x.rdd.getNumPartitions() == 21
+    y = x.groupBy("id", (F.col("id") % 7).alias("m")).agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("m")))
+    assert y._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
