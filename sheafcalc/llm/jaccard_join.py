@@ -7,8 +7,9 @@ token bitmaps and their range of sizes, and a dual traversal drops pairs of node
 overlap is below what a link needs. What is left, chained together, is a cluster. Within a cluster another
 dual traversal skips what is already connected and compares the sets exactly.
 
-A bucket of ranges sends a forest, each class beside the least one that its chain reaches there, so what the
-buckets say of one cluster is mostly the same and falls together. A range that an eighth of a task's classes
+Groups of classes that agree in a range move on to the pack of their least class, where equal groups of many ranges fall
+together, so that a class sends its bitmap to few packs however many buckets there are; large groups stay with their bucket.
+A pack sends a forest, each class beside the least one that its chain reaches there. A range that an eighth of a task's classes
 have is chained in the task, and one class of it goes on.
 
 A cluster beyond a block is joined block by block with its most central members in each (those that share most
@@ -41,6 +42,8 @@ LEADERS, PORTION, WIDEST = 4, 4_000, 256
 BLOCK_GRAMS, SAMPLE, HUBS = 1 << 20, 64, 8
 #: Bytes of text whose range digests share a bucket, buckets at most (16 M of them hold 256 TB), keys that a task gathers before it sends.
 BUCKET_BYTES, BUCKETS, FLUSH_KEYS = 16 << 20, 1 << 24, 1_000_000
+#: Classes of a group at most that moves to the pack of its least class.
+LOCAL = 64
 #: A range is hot in a task where so many of the gathered classes have it: an eighth, and 256 at least.
 HOT_PART, HOT_LEAST = 8, 256
 #: A class that holds more than this part of all rows is dealt over several tasks when rows fetch their component.
@@ -200,6 +203,34 @@ def groups_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(size[size > 1])])
 
 
+def distinct_groups(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each group of at most LOCAL ids once, and the larger ones: ids, one group after another in order of size, and the sizes."""
+    at = np.cumsum(sizes) - sizes
+    out, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(sizes).tolist():
+        rows = ids[at[sizes == n][:, None] + np.arange(n)]
+        new = np.ones(len(rows), bool)
+        if n <= LOCAL:  # few large groups are equal
+            rows = rows[np.lexsort(rows.T[::-1])]
+            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        out.append(rows[new].ravel())
+        counts.append(np.full(int(new.sum()), n))
+    return np.concatenate(out), np.concatenate(counts)
+
+
+def dealt(ids: np.ndarray, sizes: np.ndarray, own: int, packs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups in order of their pack: that of the least class, or `own` for large ones. ids, sizes, the packs, and the offsets
+    of each pack's ids and sizes."""
+    at = np.cumsum(sizes) - sizes
+    pack = np.where(sizes <= LOCAL, (mix(ids[at].view(U64)) % U64(packs)).astype(np.int64), own)
+    order = np.argsort(pack, kind="stable")
+    pack, size = pack[order], sizes[order]
+    ids = ids[np.repeat(at[order] - np.cumsum(size) + size, size) + np.arange(len(ids))]
+    edge = np.flatnonzero(np.concatenate([[True], pack[1:] != pack[:-1]])) if len(pack) else np.zeros(0, np.int64)
+    cut = np.concatenate([edge, [len(pack)]])
+    return ids, size, pack[edge], np.concatenate([[0], np.cumsum(size)])[cut], cut
+
+
 class Signatures:
     """Token bitmaps of sets, their weights and the sizes of the sets."""
 
@@ -461,12 +492,27 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
         blobs = [x.as_py() for x in t.column("blob")]
         ids, at = groups_of([b for b, c in zip(blobs, chain, strict=True) if not c])
         pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *[np.frombuffer(b, np.int64).reshape(-1, 2) for b, c in zip(blobs, chain, strict=True) if c]]), axis=0)
-        lists = [pa.array([x], pa.list_(k)) for x, k in ((ids, pa.int64()), (at.astype(np.int32), pa.int32()), (pairs[:, 0], pa.int64()), (pairs[:, 1], pa.int64()))]
-        return pa.table({"bucket": t.column("bucket").slice(0, 1)} | dict(zip(("ids", "at", "u", "v"), lists, strict=True)))
+        bucket = t.column("bucket")[0].as_py()
+        ids, sizes, pack, id_cut, cut = dealt(*distinct_groups(ids, np.diff(at)), bucket, buckets)
+        out = [(int(k), ids[a:e], sizes[b:f], None, None) for k, a, e, b, f in zip(pack, id_cut, id_cut[1:], cut, cut[1:], strict=False)]
+        if len(pairs):
+            out.append((bucket, None, None, pairs[:, 0], pairs[:, 1]))
+        return pa.table({name: pa.array([x[j] for x in out], k) for j, (name, k) in enumerate((("pack", pa.int32()), ("ids", longs), ("sizes", pa.list_(pa.int32())), ("u", longs), ("v", longs)))})
 
-    groups = stored(own.select("text").mapInArrow(run, "bucket int, chain boolean, blob binary").groupBy("bucket").applyInArrow(gather, "bucket int, ids array<long>, at array<int>, u array<long>, v array<long>"))
+    @lean
+    def merge(t: pa.Table) -> pa.Table:
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, sizes = distinct_groups(flat("ids"), flat("sizes"))
+        pairs = np.unique(np.stack([flat("u"), flat("v")], 1), axis=0)
+        lists = [pa.array([x], k) for x, k in ((ids, longs), (sizes.astype(np.int32), pa.list_(pa.int32())), (pairs[:, 0], longs), (pairs[:, 1], longs))]
+        return pa.table({"pack": t.column("pack").slice(0, 1)} | dict(zip(("ids", "sizes", "u", "v"), lists, strict=True)))
+
+    longs = pa.list_(pa.int64())
+    form = "pack int, ids array<long>, sizes array<int>, u array<long>, v array<long>"
+    met = own.select("text").mapInArrow(run, "bucket int, chain boolean, blob binary").groupBy("bucket").applyInArrow(gather, form)
+    groups = stored(met.groupBy("pack").applyInArrow(merge, form))
     release(spark)
-    uses = groups.select(F.col("bucket").alias("of_bucket"), F.explode(F.array_distinct("ids")).alias("class"))
+    uses = groups.select(F.col("pack").alias("of_pack"), F.explode(F.array_distinct("ids")).alias("class"))
     wanted = stored(uses.select("class").distinct().join(first, "class"))
     n_wanted = wanted.count()
 
@@ -484,13 +530,13 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
         raw = right.column("bits").to_pylist()
         maps = Bitmaps([raw[i] for i in row.tolist()], right.column("size").to_numpy()[row])
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for ids, at in zip(left.column("ids"), left.column("at"), strict=True):
-            ids, at = ids.values.to_numpy(), at.values.to_numpy().astype(np.int64)
+        for ids, size in zip(left.column("ids"), left.column("sizes"), strict=True):
+            ids, size = ids.values.to_numpy(), size.values.to_numpy().astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(size)])
             own = np.searchsorted(known, ids)
             if len(ids) and (own.max() >= len(known) or (known[own] != ids).any()):
-                raise ValueError("a class of a bucket has no set")
-            # Groups of at most a leaf node are compared together, each pair of the bucket once.
-            size = np.diff(at)
+                raise ValueError("a class of a pack has no set")
+            # Groups of at most a leaf node are compared together, each pair of the pack once.
             a, b = [], []
             for count in range(2, FAN + 1):
                 start = at[:-1][size == count]
@@ -526,7 +572,7 @@ def candidate_clusters(own: DataFrame, first: DataFrame, n: int, ranges: Ranges,
     asked = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
     # The id narrows the join to one row of a class; rows that repeat an id may have other texts, and only the class asked for counts.
     bits = own.mapInArrow(signed, f"id {kind}, class long, size long, bits binary").alias("b").join(asked.alias("w"), F.expr("b.class = w.class AND b.id <=> w.id")).select("b.class", "size", "bits")
-    edges = groups.filter(F.size("ids") > 0).groupBy("bucket").cogroup(uses.join(bits, "class").groupBy("of_bucket")).applyInArrow(prune, "u long, v long")
+    edges = groups.filter(F.size("ids") > 0).groupBy("pack").cogroup(uses.join(bits, "class").groupBy("of_pack")).applyInArrow(prune, "u long, v long")
     chains = groups.select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
     edges = stored(edges.unionByName(chains).distinct())
     discard(groups, wanted)

@@ -290,6 +290,36 @@ def test_large_clusters_are_linked_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_join.link_classes(docs).collect()} == group
 
 
+def test_near_copies_send_their_bitmaps_to_few_packs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", 1024)
+    sent, real = [], jaccard_join.stored
+
+    def watched(df):
+        out = real(df)
+        if "ids" in df.columns:
+            sent.extend(len(set(r.ids)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    words = [[f"{c}w{j}" for j in range(200)] for c in range(20)]
+    texts = [(3 * c + k, " ".join(w[:50] + [f"edit{k}"] * (k > 0) + w[50:])) for c, w in enumerate(words) for k in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.link_classes(docs).collect()} == {i: i - i % 3 for i in range(60)}
+    assert sum(sent) <= 60 * 3
+
+
+def test_equal_groups_meet_once():
+    import numpy as np
+
+    ids, sizes = jaccard_join.distinct_groups(np.array([5, 9, 1, 2, 3, 5, 9, 4, 8]), np.array([2, 3, 2, 2]))
+    assert ids.tolist() == [4, 8, 5, 9, 1, 2, 3] and sizes.tolist() == [2, 2, 3]
+    ids, sizes, packs, id_cut, cut = jaccard_join.dealt(ids, sizes, 0, 1000)
+    groups = {tuple(x) for a, e in zip(cut, cut[1:]) for x in np.split(ids, np.cumsum(sizes)[:-1])[a:e]}
+    assert groups == {(4, 8), (5, 9), (1, 2, 3)} and id_cut[-1] == 7 and len(packs) == len(cut) - 1
+    many = np.arange(jaccard_join.LOCAL + 1)
+    assert jaccard_join.dealt(many, np.array([len(many)]), 7, 1000)[2].tolist() == [7]
+
+
 def test_pitman_yor(docs, none):
     import math
 
