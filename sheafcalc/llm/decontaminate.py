@@ -25,9 +25,13 @@ ANY_CASE = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def words_of(col: str) -> str:
+    return f"regexp_extract_all(translate({col}, '{UPPER}', '{LOWER}'), '{FOLDED}', 0)"
+
+
 def words(col: str) -> Column:
     """Words with A-Z folded, and nothing else."""
-    return F.expr(f"regexp_extract_all(translate({col}, '{UPPER}', '{LOWER}'), '{FOLDED}', 0)")
+    return F.expr(words_of(col))
 
 
 def terms(col: str) -> Column:
@@ -89,10 +93,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     aligned = stored(alignments(postings(own, chosen, n_plan), plan, n_plan).join(small(tests.select("row", "item", "item_words"), n_rows, 20_000), "row"))
     # All alignments of a text meet at the text, which is one row; there are never more than it has words times items.
     by_doc = aligned.groupBy("doc").agg(F.collect_list(F.struct("item", "item_words", "shift")).alias("found"))
-    both = own.join(small(by_doc, aligned.count(), 20_000), "doc").select("doc", words("text").alias("w"), "found")
+    both = own.join(small(by_doc, aligned.count(), 20_000), "doc").select("doc", "text", "found")
     starts = f"filter(sequence(0, greatest(0, size(x.item_words) - {window})), s -> x.shift + s >= 0 AND slice(w, x.shift + s + 1, least({window}, size(x.item_words))) = slice(x.item_words, s + 1, {window}))"
     covered = f"array_distinct(flatten(transform({starts}, s -> sequence(x.shift + s, x.shift + s + least({window}, size(x.item_words)) - 1))))"
-    return both.select("doc", F.expr(f"filter(transform(found, x -> named_struct('item', x.item, 'covered', {covered})), x -> size(x.covered) > 0)").alias("matches"))
+    # The words are an argument of a function: as a column they would be put into the innermost one and be sought anew for each window.
+    matches = f"filter(transform(found, x -> named_struct('item', x.item, 'covered', {covered})), x -> size(x.covered) > 0)"
+    return both.select("doc", F.expr(f"transform(array({words_of('text')}), w -> {matches})[0]").alias("matches"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -320,6 +320,15 @@ def test_equal_groups_meet_once():
     assert jaccard_join.dealt(many, np.array([len(many)]), 7, 1000)[2].tolist() == [7]
 
 
+def test_words_of_a_matched_text_are_sought_once(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(5, 30)))], "item_id string, text string")
+    found = decontaminate.phrase_matches(docs, items)
+    assert [(m.item, sorted(m.covered)) for m in found.first().matches] == [("a", list(range(5, 30)))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(regexp_extract_all" not in plan and plan.count("regexp_extract_all") == 1
+
+
 def test_pitman_yor(docs, none):
     import math
 
