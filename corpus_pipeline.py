@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafcalc.llm import decontaminate, jaccard_join, language_id, mixing, suffix_dedup
-from sheafcalc.llm.common import small, stored, table
+from sheafcalc.llm.common import rested, small, stored, table
 
 #: A text is rejected that is no language's, or whose main language has a smaller share of its letters.
 LEAST_SHARE = 0.3
@@ -51,6 +51,7 @@ def without(docs: DataFrame, gone: DataFrame, top: int | None, like: DataFrame)
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest id stays; one without an id goes before all others."""
+    rested(spark)
     like, (docs, top) = docs, numbered(docs)
     groups = jaccard_join.link_classes(docs.select("doc_id", "text"), SHINGLE, *SIMILAR)
     return without(docs, stored(groups.filter("component_id <> doc_id").select("doc_id").distinct()), top, like)
@@ -58,6 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def shared_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes go that a document of smaller id has in a string of 50; so do documents that keep no word then."""
+    rested(spark)
     others = [c for c in docs.columns if c != "text"]
     kept = suffix_dedup.kept_texts(docs, rest=others)
     kept = kept.filter(~((F.col("n_removed") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")))

@@ -78,6 +78,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rested(spark: SparkSession) -> None:
+    """Let executors give back the heap that earlier steps made them take: a full collection shrinks it, and until then all of
+    it counts beside the Python workers of the next step. Several tasks for each core, so that every executor gets some."""
+    release(spark)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 # --- arrays inside tasks -------------------------------------------------------------------------
 
 

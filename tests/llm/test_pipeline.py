@@ -90,3 +90,15 @@ def test_hard_rows(spark, tmp_path, name, stage):
         # The repeated row stays twice; its copies of larger id and without one go.
         assert collections.Counter(r.doc_id for r in found.collect()) == {1: 2, None: 1, 3: 1, 4: 1, 5: 1}
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_executors_rest_before_the_large_stages(spark, monkeypatch):
+    """A full collection in each executor comes before the stages whose Python workers need the most memory."""
+    from sheafcalc.llm.common import rested
+
+    rests = []
+    monkeypatch.setattr(corpus_pipeline, "rested", lambda s: rests.append(rested(s)))
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.shared_strings):
+        stage(spark, empty, "")
+    assert len(rests) == 2
