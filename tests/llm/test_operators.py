@@ -359,6 +359,46 @@ def test_pitman_yor_chances_add_up():
         assert abs((10.0**logs).sum() - 1) < 1e-5  # five words and one unseen
 
 
+def test_pitman_yor_contexts_are_words(docs):
+    """Against plain counting, with one table a dish (no sweep): the restaurant of a word is the whole word before it."""
+    import math
+
+    learns = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
+    texts = [(i, ["<begin>", *SPACED.findall((t or "").translate(FOLD)), None]) for i, t in ROWS]
+    pairs = [list(zip(w[1:], w[:-1], strict=True)) for _, w in texts]
+    up = lambda u: -1 if u == "<begin>" else u.encode()[-1]
+    low = collections.Counter(x for (i, _), p in zip(texts, pairs, strict=True) if learns(i) for x in p)
+    mid = collections.Counter((w, up(u)) for w, u in low)
+    top = collections.Counter(w for w, _ in mid)
+    words = collections.Counter(x for (i, w), _ in zip(texts, pairs, strict=True) if learns(i) for x in w[1:])
+
+    def discount(c):
+        one, two = (sum(x == k for x in c.values()) for k in (1, 2))
+        return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+
+    d0, d2 = discount(words), discount(low)
+    d1 = (d0 + d2) / 2
+    inside = lambda c, key: (sum(n for k, n in c.items() if k[1] == key), sum(k[1] == key for k in c))
+    lows, mids = {u: inside(low, u) for u in {u for p in pairs for _, u in p}}, {m: inside(mid, m) for m in range(-1, 256)}
+
+    def chance(w, u):
+        seat = lambda c, d, total, above: (max(c - d, 0) + (1 + d * total[1]) * above) / (1 + total[0])
+        root = seat(top[w], d0, (sum(top.values()), len(top)), 1 / (len(words) + 1))
+        return seat(low[w, u], d2, lows[u], seat(mid[w, up(u)], d1, mids[up(u)], root))
+
+    expected = sorted((i or 0, round(sum(math.log10(chance(*x)) for x in p), 4)) for (i, _), p in zip(texts, pairs, strict=True))
+    got = sorted((r.doc_id or 0, round(r.score, 4)) for r in pitman_yor.score(docs, id_crc("doc_id", 7) != 2, sweeps=0, block_bytes=4096).collect())
+    assert [i for i, _ in got] == [i for i, _ in expected]
+    assert all(abs(a - b) < 2e-3 for (_, a), (_, b) in zip(got, expected, strict=True))
+
+
+def test_pitman_yor_tells_words_of_one_ending_apart(spark):
+    rows = [(i, "hand up" if i % 2 else "wind down") for i in range(40)] + [(2000, "hand up"), (2001, "wind up")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(df, F.col("doc_id") < 1000).collect()}
+    assert got[2000] - got[2001] > 0.5  # both end in nd: contexts of two bytes give both the same chance of up
+
+
 def test_toxicity(spark, docs, none):
     toxic = [(i, prose(30) + (" you idiot" if i % 3 == 0 else "")) for i in range(200)]
     own = spark.createDataFrame(toxic + [(900, None), (901, ""), (902, "you 1d1ot")], "doc_id long, text string").withColumn("score", F.lit("clash"))
