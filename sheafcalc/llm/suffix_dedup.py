@@ -289,23 +289,40 @@ def ranked_bytes(raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.ascontiguousarray(raw[at[:, None] + np.arange(width)]).view(f"V{width}").ravel(), return_inverse=True)[1]
 
 
-def paired(raw: np.ndarray, at: np.ndarray, off: np.ndarray, size: np.ndarray, rank: np.ndarray, ids: np.ndarray, length: int, anchor: int) -> np.ndarray:
-    """Occurrences that may share a string with another id's. A string has half of the bytes beside its anchor, or more, on
-    one side, so two that share it agree there; what agrees with no other id on either side is left out."""
-    half = (length - anchor + 1) // 2
-    keep = np.zeros(len(ids), bool)
-    for first, room in ((at + off - half, off), (at + off + anchor, size - off - anchor)):
-        own = np.flatnonzero(room >= half)
-        if not len(own) or not half:
-            keep[own] = True
-            continue
-        key = rank[own] * (len(own) + 1) + ranked_bytes(raw, first[own], half)
-        order = np.lexsort((ids[own], key))
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        last = np.concatenate([edge[1:], [len(order)]]) - 1
-        several = ids[own][order[edge]] != ids[own][order[last]]
-        keep[own[order[np.repeat(several, last - edge + 1)]]] = True
-    return np.flatnonzero(keep)
+def reach(raw: np.ndarray, first: np.ndarray, step: int, room: np.ndarray, width: int, rank: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each occurrence how many bytes beside its anchor, from `first` on by `step`, agree with one of another id that has the
+    anchor; -1 where no other id has it. Sorted by these bytes, the nearest other ids before and after agree the longest."""
+    n = len(ids)
+    k = np.arange(width)
+    byte = np.zeros((n, -(-max(width, 1) // 8) * 8), np.uint8)
+    byte[:, :width] = np.where(k < room[:, None], raw[np.clip(first[:, None] + step * k, 0, len(raw) - 1)], 0)
+    order = np.lexsort((ids, *byte.view(">u8").astype(U64).T[::-1], rank))
+    byte, who, rank = byte[order, :width], ids[order], rank[order]
+    differs = np.column_stack([byte[1:] != byte[:-1], np.ones(n - 1, bool)])
+    near = np.where(rank[1:] == rank[:-1], differs.argmax(axis=1), -1)
+    # A run of one id looks past itself: the least of the agreements on the way.
+    run = np.concatenate([[0], np.cumsum(who[1:] != who[:-1])]) * (width + 2)
+    before = np.minimum.accumulate(np.concatenate([[-1], near]) - run) + run
+    after = (np.minimum.accumulate((np.concatenate([near, [-1]]) + run)[::-1]) - run[::-1])[::-1]
+    best = np.empty(n, np.int64)
+    best[order] = np.maximum(before, after)
+    return np.minimum(best, room)
+
+
+def narrowed(raw: np.ndarray, at: np.ndarray, off: np.ndarray, size: np.ndarray, rank: np.ndarray, ids: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences that may share a string with another id's, and how many bytes before and after the anchor such a string may
+    have. Bytes that agree with no other id, at the same distance from the anchor and all the way to it, are in no shared string;
+    what has not enough bytes left for one is left out, and then agrees with none either."""
+    keep = np.arange(len(ids))
+    left, right = off, size - off - anchor
+    while len(keep):
+        before = reach(raw, at[keep] + off[keep] - 1, -1, left, length - anchor, rank[keep], ids[keep])
+        after = reach(raw, at[keep] + off[keep] + anchor, 1, right, length - anchor, rank[keep], ids[keep])
+        live = (before >= 0) & (before + after >= length - anchor)
+        was, keep, left, right = len(keep), keep[live], before[live], after[live]
+        if len(keep) > 0.9 * was:
+            break
+    return keep, left, right
 
 
 def compared(rows: list[list[np.ndarray]], length: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -315,11 +332,13 @@ def compared(rows: list[list[np.ndarray]], length: int, anchor: int) -> tuple[np
     size = count - 1 + length
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     rank = ranked_bytes(raw, at + off, anchor)
-    keep = paired(raw, at, off, size, rank, ids, length, anchor)
+    keep, left, right = narrowed(raw, at, off, size, rank, ids, length, anchor)
     if not len(keep):
         z = np.zeros(0, np.int64)
         return z, z, z, z
-    ids, tags, start, off, count, at, size, rank = (x[keep] for x in (ids, tags, start, off, count, at, size, rank))
+    ids, tags, start, off, at, rank = (x[keep] for x in (ids, tags, start, off, at, rank))
+    start, at, off, size = start + off - left, at + off - left, left, left + anchor + right
+    count = size - length + 1
     # Symbols of an occurrence: bytes before the anchor, the anchor, bytes after it, and an end.
     wide = size - anchor + 2
     new = np.concatenate([[0], np.cumsum(wide)])

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,39 @@ def test_large_anchors_are_dealt_over_blocks(spark, monkeypatch):
     assert by_place(suffix_dedup.kept_texts(docs), ["doc_id", "kept_sha256"]) == want
 
 
+def test_suffix_arrays_get_only_what_may_be_shared(monkeypatch):
+    """Occurrences of one block against all strings by brute force; what shares 49 bytes with others is no symbol of the array."""
+    sizes, real = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s: sizes.append(len(s)) or real(s))
+    own, length, anchor = random.Random(11), 50, 28
+    other = lambda n: bytes(own.choice(b"ab\0") for _ in range(n))
+    anchors = [other(anchor) for _ in range(3)]
+    made = []
+    for k in range(400):
+        left, right = own.randint(0, 22), own.randint(11, 22)
+        left = max(left, 22 - right)
+        made.append((own.choice([k % 150, suffix_dedup.NO_ID]), k, own.randint(0, 99), left, other(left) + own.choice(anchors) + other(right)))
+
+    def blocks(made):
+        ids, tags, start, off = (np.array([m[j] for m in made], np.int64) for j in range(4))
+        return [[ids, tags, start, off, np.array([len(m[4]) - length + 1 for m in made]), np.frombuffer(b"".join(m[4] for m in made), np.uint8)]]
+
+    # Repeats of parts at the same distance from the anchor, by other ids and by the same one.
+    made += [(own.choice([m[0], m[0] + 1 if m[0] < 999 else 3]), 1000 + k, 7, m[3] - x, m[4][x : len(m[4]) - y]) for k, m in enumerate(made) for x, y in [(own.randint(0, m[3]), own.randint(0, len(m[4]) - m[3] - anchor))] if len(m[4]) - x - y >= length]
+    first = {}
+    for i, _, _, off, raw in made:
+        for k in range(len(raw) - length + 1):
+            key = raw[k : k + length], off - k
+            first[key] = min(first.get(key, i), i)
+    want = sorted((i, t, s + k) for i, t, s, off, raw in made for k in range(len(raw) - length + 1) if first[raw[k : k + length], off - k] < i)
+    ids, tags, start, _ = suffix_dedup.compared(blocks(made), length, anchor)
+    assert sorted(zip(ids.tolist(), tags.tolist(), start.tolist())) == want and len(want) > 50
+    sizes.clear()
+    line = b"x" * 10 + anchors[0] + b"y" * 11
+    near = [(i, i, 0, 16, bytes([65 + i]) * 6 + line + bytes([97 + i]) * 6) for i in range(20)]
+    assert not len(suffix_dedup.compared(blocks(near), length, anchor)[0]) and sum(sizes) == 0
+
+
 def test_language_id(docs, none, spark):
     train = spark.createDataFrame([(1, "the cat and the dog are in the house with the other cats " * 3, "en"), (2, "der hund und die katze sind in dem haus mit den anderen " * 3, "de"), (3, "кот и собака живут в большом доме вместе с другими " * 3, "ru"), (4, None, "xx"), (5, "text", None)], "doc_id long, text string, lang string")
     model = language_id.train(train, F.lit(True))
