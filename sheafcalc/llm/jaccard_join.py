@@ -38,6 +38,8 @@ from sheafcalc.llm.components import components
 GROWTH, BLOCK, FAN, NARROWEST, BITMAP, BROADCAST_ROWS = 1.6, 2048, 8, 2, 128, 400_000
 #: Leaders compared with all members before the traversal, node pairs looked at together, and words of the widest bitmaps.
 LEADERS, PORTION, WIDEST = 4, 4_000, 256
+#: Members of a group at most whose bitmaps are compared pair by pair: finding the centre of more takes fewer comparisons.
+PAIRWISE = 128
 #: n-grams of the sets of a block or pack at most, members of a block that the centre is estimated from, central members of a cluster.
 BLOCK_GRAMS, SAMPLE, HUBS = 1 << 20, 64, 8
 #: Bytes of text whose range digests share a bucket, buckets at most (16 M of them hold 256 TB), keys that a task gathers before it sends.
@@ -72,14 +74,25 @@ def ngram_sets(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
             one[here] = one[here] * PRIME + words[first[short[here]] + k]
         h = np.concatenate([h, mix(one ^ mix(count[short].astype(U64)))])
         doc = np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    h, doc = by_text(h, doc)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
     return h, doc, np.searchsorted(doc, np.arange(b.num_rows + 1))
 
 
+def by_text(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests in order of text and digest. One word holds the text and the upper bits of the digest, and is sorted much faster
+    than two; where different digests of a text agree in those bits, both are."""
+    bits = U64(max(1, int(doc.max(initial=0)).bit_length()))
+    order = np.argsort((doc.astype(U64) << (U64(64) - bits)) | (h >> bits))
+    x, y = h[order], doc[order]
+    if ((x[1:] < x[:-1]) & (y[1:] == y[:-1])).any():
+        order = np.lexsort((h, doc))
+        x, y = h[order], doc[order]
+    return x, y
+
+
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Wrapping sums of values between offsets."""
     total = np.zeros(len(values) + 1, U64)
@@ -343,10 +356,16 @@ def centrality(sig: Signatures, among: np.ndarray) -> np.ndarray:
 def connected(sig: Signatures, num: int, den: int, linked: Callable[[int, int], bool] | None = None, hubs: list[int] = []) -> list[int]:  # noqa: B006
     """For each member the first member of its component of links (of possible links, where linked is not given).
 
-    A few leaders, the hubs and then the most central of what is left, are compared with all members first; that connects groups of near copies at once. Members that
+    Small groups compare all pairs of bitmaps, which is no more than finding their centres takes. In others a few leaders, the hubs and then the most central of what is left, are compared with all members first; that connects groups of near copies at once. Members that
     are in no leader's component go through the dual traversal against all members. What is left are links between
     two leaders' components: each two are traversed until they connect."""
     n = len(sig.size)
+    if linked is None and n <= PAIRWISE:
+        i, j = np.triu_indices(n, 1)
+        leaf = (sig.bits, sig.weight, sig.size, sig.size)
+        keep = [np.zeros(0, bool)] + [possible(leaf, i[k : k + PORTION], leaf, j[k : k + PORTION], num, den) for k in range(0, len(i), PORTION)]
+        keep = np.concatenate(keep) & (sig.size[i] > 0) & (sig.size[j] > 0)
+        return forest(n, i[keep], j[keep]).tolist()
     root = list(range(n))
 
     def find(i: int) -> int:

@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,17 @@ def grams(word: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+def gram_codes(points: np.ndarray) -> np.ndarray:
+    """Three neighbouring code points, of 21 bits each, as one number."""
+    x = points.astype(np.int64)
+    return (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """The script of each code point, as of a word that begins with it."""
+    return np.array(["other", *KINDS])[np.searchsorted(STARTS, points, "right")]
+
+
 @dataclass
 class Model:
     """Languages, log chances of trigrams (a row each, the last for unknown ones) and candidates of each script."""
@@ -55,20 +67,33 @@ class Model:
     logs: np.ndarray
     scripts: dict[str, np.ndarray]
 
+    def coded(self) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams as numbers in ascending order, and the row of each."""
+        if not hasattr(self, "_coded"):
+            codes = gram_codes(np.frombuffer("".join(self.index).encode("utf-32-le", "surrogatepass"), np.uint32))[::3]
+            order = np.argsort(codes)
+            self._coded = codes[order], np.fromiter(self.index.values(), np.int64, len(self.index))[order]
+        return self._coded
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log chance of each word under each language; languages that do not use its script get none of it."""
         if not words:
             return np.zeros((0, len(self.langs)))
-        unknown, get = len(self.logs) - 1, self.index.get
-        lens = np.array([len(w) for w in words])
-        rows = np.fromiter((get(g, unknown) for w in words for g in grams(w)), np.int64, int(lens.sum()))
-        starts = np.zeros(len(words), np.int64)
-        np.cumsum(lens[:-1], out=starts[1:])
-        out = np.add.reduceat(self.logs[rows], starts, axis=0)
-        kinds = [script(w) for w in words]
-        for kind in set(kinds):
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.cumsum(lens + 2) - lens - 2
+        # A word of n letters stands between blanks and has n grams: all but those that begin in its last letter's place or after it.
+        inside = np.ones(len(points), bool)
+        inside[starts + lens] = inside[starts + lens + 1] = False
+        codes, places = self.coded()
+        asked, at = np.unique(gram_codes(points)[inside[:-2]], return_inverse=True)
+        found = np.minimum(np.searchsorted(codes, asked), max(len(codes) - 1, 0))
+        rows = np.where(codes[found] == asked, places[found], len(self.logs) - 1)[at] if len(codes) else np.full(len(at), len(self.logs) - 1)
+        out = np.add.reduceat(self.logs[rows], np.cumsum(lens) - lens, axis=0)
+        kinds = scripts_of(points[starts + 1])
+        for kind in set(kinds.tolist()):
             may = self.scripts.get(kind)
-            here = np.array([k == kind for k in kinds])
+            here = kinds == kind
             if may is None:
                 out[here] = 0.0
             else:
@@ -130,51 +155,62 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best language of each word; at: offsets of texts among the words. Texts run in step, longest first."""
+    """The best language of each word; at: offsets of texts among the words. Texts run in step, longest first; words are put in
+    order of their step, so that those of a step are neighbours."""
     lens = np.diff(at)
     order = np.argsort(-lens, kind="stable")
-    start, lens = at[:-1][order], lens[order]
+    rank = np.empty(len(lens), np.int64)
+    rank[order] = np.arange(len(lens))
+    lens = lens[order]
     steps = int(lens[0]) if len(lens) else 0
     live = np.searchsorted(-lens, -np.arange(steps), "left")  # texts with more than t words
+    first = np.cumsum(live) - live
+    owner = np.repeat(np.arange(len(rank)), np.diff(at))
+    place = first[np.arange(len(scores)) - at[owner]] + rank[owner]
+    step = np.empty_like(scores)
+    step[place] = scores
     came = np.zeros(scores.shape, bool)
     best = np.zeros(len(scores), np.int32)
     v = np.zeros((len(order), scores.shape[1]))
-    rows = np.arange(len(order))
-    for t in range(steps):
-        k = live[t]
-        u, where = v[:k], start[:k] + t
-        top = u.argmax(axis=1)
-        best[where] = top
-        from_top = u[rows[:k], top][:, None] - switch
-        jump = u < from_top
-        came[where] = jump
-        v[:k] = np.where(jump, from_top, u) + scores[where]
+    spans = list(zip(first.tolist(), (first + live).tolist(), live.tolist(), strict=True))
+    for a, e, k in spans:
+        u = v[:k]
+        best[a:e] = u.argmax(axis=1)
+        from_top = u.max(axis=1, keepdims=True) - switch
+        np.less(u, from_top, out=came[a:e])
+        np.maximum(u, from_top, out=u)
+        u += step[a:e]
     out = np.zeros(len(scores), np.int32)
     here = v.argmax(axis=1)
-    for t in range(steps - 1, -1, -1):
-        k = live[t]
-        where = start[:k] + t
+    rows = np.arange(len(order))
+    for a, e, k in reversed(spans):
         now = here[:k]
-        out[where] = now
-        here[:k] = np.where(came[where, now], best[where], now)
-    return out
+        out[a:e] = now
+        np.copyto(now, best[a:e], where=came[a:e][rows[:k], now])
+    return out[place]
 
 
 class Labeller:
     """Labels texts with a model; keeps the scores of words it has met, up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.table, self.foreign = model, {}, np.zeros((0, len(model.langs))), np.zeros(0, bool)
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.table, self.foreign, self.letters = {}, np.zeros((0, len(self.model.langs))), np.zeros(0, bool), np.zeros(0)
 
     def word_rows(self, found: list[list[str]]) -> None:
         words = set().union(*found)
         if len(self.known) + len(words) > KEPT:
-            self.known, self.table, self.foreign = {}, np.zeros((0, len(self.model.langs))), np.zeros(0, bool)
+            self.forget()
         new = list(words - self.known.keys())
         self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-        if self.model.langs:
+        if self.model.langs and new:
             self.table = np.concatenate([self.table, self.model.word_scores(new)])
-            self.foreign = np.concatenate([self.foreign, np.array([script(w) not in self.model.scripts for w in new], bool)])
+            kinds = scripts_of(np.fromiter((ord(w[0]) for w in new), np.int64, len(new)))
+            self.foreign = np.concatenate([self.foreign, ~np.isin(kinds, list(self.model.scripts))])
+            self.letters = np.concatenate([self.letters, np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new), np.float64, len(new))])
 
     def label(self, texts: list[str | None], with_spans: bool = False) -> tuple[list[str], list[float], list]:
         texts, langs_known = [t or "" for t in texts], self.model.langs
@@ -187,10 +223,9 @@ class Labeller:
         out_lang, out_score, out_spans = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
         if not at[-1] or not langs_known:
             return out_lang, out_score, out_spans
-        flat = [w for x in found for w in x]
-        ids = np.fromiter((self.known[w] for w in flat), np.int64, len(flat))
+        ids = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, int(at[-1]))
         langs = viterbi(self.table[ids], at)
-        letters = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in flat), np.float64, len(flat))
+        letters = self.letters[ids]
         owner = np.repeat(np.arange(len(texts)), np.diff(at))
         # Letters of a script that no learned language uses are no language's, but count in the whole.
         total = np.bincount(owner, letters, len(texts))

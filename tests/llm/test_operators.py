@@ -236,6 +236,65 @@ def test_words_of_the_index_are_those_of_the_contract(spark):
     assert [x for r in rows[-2:] for x in r.t] == [x for r in rows[-2:] for x in PLAIN.findall(r.text.lower())]
 
 
+def test_small_groups_need_no_centre(monkeypatch):
+    """Up to PAIRWISE members all pairs of bitmaps are compared; components are those of brute force."""
+    own = np.random.default_rng(4)
+    base = own.integers(0, 1 << 62, 60).astype(np.uint64)
+    for n in (0, 1, 2, 9, 128):
+        sets = [np.unique(np.concatenate([own.choice(base, 50, replace=False), own.integers(0, 1 << 62, own.integers(0, 12)).astype(np.uint64)]))[: own.choice([0, 40, 60])] for _ in range(n)]
+        sig = jaccard_join.Signatures(np.stack([jaccard_join.bitmap(x, 8) for x in sets]) if n else np.zeros((0, 8), np.uint64), np.array([len(x) for x in sets], np.int64))
+        leaf, root = (sig.bits, sig.weight, sig.size, sig.size), list(range(n))
+        for i in range(n):
+            for j in range(i + 1, n):
+                if len(sets[i]) and len(sets[j]) and jaccard_join.possible(leaf, np.array([i]), leaf, np.array([j]), 80, 100)[0]:
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+        with monkeypatch.context() as m:
+            m.setattr(jaccard_join, "centrality", None)
+            assert jaccard_join.connected(sig, 80, 100) == root
+
+
+def test_digests_that_agree_in_their_upper_bits_are_ordered():
+    h, doc = np.array([3, 2, 9, 1, 2, 3], np.uint64), np.array([0, 0, 0, 1, 1, 1])
+    x, y = jaccard_join.by_text(h, doc)
+    assert x.tolist() == [2, 3, 9, 1, 2, 3] and y.tolist() == doc.tolist()
+    assert [len(x) for x in jaccard_join.by_text(h[:0], doc[:0])] == [0, 0]
+
+
+def test_words_are_scored_together(monkeypatch):
+    """Scores and labels by loops over words and their trigrams, in scripts beyond 16 bits too."""
+    own = np.random.default_rng(6)
+    words = ["über", "x", "кот", "漢字", "\U00010400b", "ß", *{"".join(own.choice(list("abcdefñ"), own.integers(1, 9))) for _ in range(200)}]
+    index = {g: k for k, g in enumerate(dict.fromkeys(g for w in words[::2] for g in language_id.grams(w)))}
+    model = language_id.Model(["a", "b", "c"], index, np.round(own.normal(-9, 2, (len(index) + 1, 3)), 1), {"Latin": np.array([True, False, True]), "Cyrillic": np.ones(3, bool)})
+    want = []
+    for w in words:
+        score = np.add.reduceat(model.logs[[index.get(g, len(index)) for g in language_id.grams(w)]], [0])[0]
+        may = model.scripts.get(language_id.script(w), np.zeros(3, bool))
+        want.append(np.where(may, score, score.min() - 4 * language_id.SWITCH) if may.any() else np.zeros(3))
+    texts = [[int(k) for k in own.integers(0, len(words), n)] for n in (0, 1, 2, 30, 30, 7)]
+    with monkeypatch.context() as m:
+        m.setattr(language_id, "grams", None)
+        got = model.word_scores(words)
+        labels = language_id.Labeller(model).label([" 1 ".join(words[k] for k in t) for t in texts])
+    assert np.array_equal(got, np.array(want))
+    for t, lang, score in zip(texts, *labels[:2]):
+        ways = [np.zeros(3)]
+        back = []
+        for k in t:
+            u = ways[-1]
+            top = int(u.argmax())
+            jump = u < u[top] - language_id.SWITCH
+            back.append(np.where(jump, top, np.arange(3)))
+            ways.append(np.where(jump, u[top] - language_id.SWITCH, u) + want[k])
+        at, letters = int(ways[-1].argmax()), np.zeros(3)
+        for k, b in zip(t[::-1], back[::-1]):
+            letters[at] += len(words[k]) * (language_id.script(words[k]) in model.scripts)
+            at = int(b[at])
+        total = sum(len(words[k]) for k in t)
+        assert (lang, score) == ((model.langs[int(letters.argmax())], letters.max() / total) if total else ("und", 0.0))
+
+
 def test_language_id(docs, none, spark):
     train = spark.createDataFrame([(1, "the cat and the dog are in the house with the other cats " * 3, "en"), (2, "der hund und die katze sind in dem haus mit den anderen " * 3, "de"), (3, "кот и собака живут в большом доме вместе с другими " * 3, "ru"), (4, None, "xx"), (5, "text", None)], "doc_id long, text string, lang string")
     model = language_id.train(train, F.lit(True))
